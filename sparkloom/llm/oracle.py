@@ -19,8 +19,8 @@ def _fails(rules: tuple[Rule, ...]) -> str:
 
 _QUALITY = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT k, doc_id, t, list_filter(regexp_split_to_array(t, '{_S}+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT k, doc_id, t, list_filter(regexp_split_to_array(t, '{_S}+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 words AS (SELECT k, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
 grams AS (SELECT k, i, word || ' ' || lead(word, 1) OVER v || ' ' || lead(word, 2) OVER v AS g FROM words WINDOW v AS (PARTITION BY k ORDER BY i)),
 twice AS (SELECT k, g FROM grams WHERE g IS NOT NULL GROUP BY k, g HAVING count(*) > 1),
@@ -31,10 +31,10 @@ m AS (SELECT w.k, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws,
   coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
   (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim,
   (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_upper,
-  len(list_filter(ws, x -> x IN ({_STOP})))::BIGINT AS n_stop,
+  len(list_filter(ws, lambda x: x IN ({_STOP})))::BIGINT AS n_stop,
   len(ls)::BIGINT AS n_lines,
-  len(list_filter(ls, x -> regexp_matches(x, '(\\.\\.\\.|…){_S}*$')))::BIGINT AS n_ellipsis_lines,
-  len(list_filter(ls, x -> regexp_matches(x, '^{_S}*[-*•]')))::BIGINT AS n_bullet_lines
+  len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…){_S}*$')))::BIGINT AS n_ellipsis_lines,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^{_S}*[-*•]')))::BIGINT AS n_bullet_lines
   FROM w LEFT JOIN covered ON covered.k = w.k),
 j AS (SELECT *, {_fails(BASE_RULES)} AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_exclaim, n_upper, n_stop, n_lines,
