@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows that Arrow hands to Python at once; documents may be long.
 ARROW_ROWS = 500
 
+_sent: list[object] = []
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -24,13 +28,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch; a setting of the caller's own stays if it is smaller."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on executors: send them this package, and bound the rows of an Arrow batch (a smaller setting stays)."""
+    _send(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def _send(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if any(x is context for x in _sent):
+        return
+    _sent.append(context)
+    top = Path(__file__).resolve().parent.parent
+    where = Path(tempfile.mkdtemp(prefix="sparkloom-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(where))  # the driver serves it to executors
+    atexit.register(shutil.rmtree, where.parent, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir; one is chosen only where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

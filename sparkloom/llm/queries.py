@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
+from .simhash import near_components
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, how many go, and the digest of the text that stays."""
+    done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +29,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
