@@ -118,5 +118,7 @@ def accepted(docs: DataFrame, base: tuple[Rule, ...] = BASE_RULES, method: tuple
     """The rows of docs, all columns as they are, that every rule accepts."""
     names = docs.columns
     plain = docs.toDF(*[c if c == "text" else f"__in_{i}" for i, c in enumerate(names)])
-    judged = measure(plain).where(~failing(base) & ~failing(method))
+    judged = measure(plain).withColumn("__keep", ~failing(base) & ~failing(method))
+    # a filter would be pushed below the projection, and the measures computed again in it; a generator stays above
+    judged = judged.select("*", F.explode(F.when(F.col("__keep"), F.array(F.lit(1)))).alias("__one"))
     return judged.select(*[F.col("text" if c == "text" else f"__in_{i}").alias(c) for i, c in enumerate(names)])
