@@ -14,6 +14,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .simhash import near_components
 from .tokens import count_tokens
+from .warc import archived
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +47,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read_table(spark, sf_dir, "pages"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_line_dedup": op7_line_dedup,
+        "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
