@@ -12,6 +12,7 @@ from .decontaminate import contaminated
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import quality_rules
+from .resample import resample
 from .secrets import scan
 from .simhash import near_components
 from .tokens import count_tokens
@@ -41,6 +42,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, how many go, and the digest of the text that stays."""
     done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_quality_classifier": op5_quality_classifier,
         "op7_line_dedup": op7_line_dedup,
         "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
