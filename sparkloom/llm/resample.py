@@ -16,9 +16,9 @@ GRAM, BUCKETS = 5, 1 << 20
 #: Labelled rows, the smallest by a hash of their doc_id, from which the target model is fitted: a bound on what is broadcast.
 TARGETS = 20_000
 #: Pseudo-count of either model, and the log ratio that a bucket must exceed to count, less than that being noise of counts.
-PRIOR, NOISE = 5.0, 2.5
+PRIOR, NOISE = 5.0, 2.0
 #: Evidence against a document, in nats, that counts as none.
-SLACK = 3.0
+SLACK = 4.0
 CHUNK = 1024
 
 
