@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .resample import resample
 from .secrets import scan
 from .simhash import near_components
+from .suffix_dedup import without_repeats
 from .tokens import count_tokens
 from .warc import archived
 
@@ -46,6 +47,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read_table(spark, sf_dir, "documents"), span=100)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, how many go, and the digest of the text that stays."""
     done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
