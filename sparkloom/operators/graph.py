@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from ..ship import ship
 
 #: Edges up to which cycles are searched in one task; beyond, by distributed colouring.
 ONE_TASK_EDGES = 2_000_000
@@ -105,6 +106,7 @@ def strong_components(graph: DataFrame, src: str = "src_file", dst: str = "dst_f
         n = m
     kind = "node string, root string"
     if n <= one_task:
+        ship(graph.sparkSession)
         return e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda d: pd.DataFrame(_tarjan(d), columns=["node", "root"]), kind)
     done = e.sparkSession.createDataFrame([], kind)
     while not e.isEmpty():

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..ship import ship
 from . import graph, search
 
 BODY = 1500
@@ -54,6 +55,7 @@ def embedded(inputs: DataFrame, embed: Callable[[list[str]], list[list[float]]]
                 p = d.iloc[i : i + batch]
                 yield pd.DataFrame({"entity_id": p["entity_id"], "embedding": embed(p["text"].tolist()), "embedding_hash": p["hash"]})
 
+    ship(inputs.sparkSession)
     return inputs.select("entity_id", "text", "hash").mapInPandas(run, "entity_id string, embedding array<float>, embedding_hash string")
 
 
@@ -107,6 +109,7 @@ def ask(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
         for d in parts:
             yield pd.DataFrame({"id": d["id"], "answer": [model(p) for p in d["prompt"]]})
 
+    ship(prompts.sparkSession)
     return prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, answer string")
 
 

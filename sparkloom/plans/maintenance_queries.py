@@ -65,7 +65,7 @@ def walk_filter(spark, d):
 def _program(spark, d):
     p = A.tables(spark, d, "part")["part"].select(F.col("p_partkey").alias("k"))
     s = lambda c: F.col(c).cast("string")
-    file = F.concat(F.lit("src/pkg/b"), (F.col("k") % 20).cast("string"), F.lit("/m"), s("k"), F.lit(".py"))
+    file = F.concat(F.lit("src/prog/b"), (F.col("k") % 20).cast("string"), F.lit("/m"), s("k"), F.lit(".py"))
     base = p.withColumn("file", file)
     ent = lambda kind, name, qname: base.select(F.concat(F.lit("py:"), "file", F.lit(":"), qname).alias("entity_id"), F.lit(kind).alias("type"), name.alias("name"), qname.alias("qualified_name"), F.lit("python").alias("language"), "file", F.lit(True).alias("is_exported"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
     fk, ck, mod = F.concat(F.lit("f"), s("k")), F.concat(F.lit("C"), s("k")), F.regexp_replace(F.regexp_replace("file", r"\.py$", ""), "/", ".")
@@ -84,7 +84,7 @@ def _next(add: int):
 def resolve_imports(spark, d):
     base, e, files = _program(spark, d)
     j, k = _next(1), F.col("k")
-    m = F.concat(F.lit("pkg.b"), (j % 20).cast("string"), F.lit(".m"), j.cast("string"))
+    m = F.concat(F.lit("prog.b"), (j % 20).cast("string"), F.lit(".m"), j.cast("string"))
     dst = F.concat(F.lit("py:?:"), F.when(k % 4 == 0, m).when(k % 4 == 1, F.concat(m, F.lit(".f"), j.cast("string"))).when(k % 4 == 2, F.concat(m, F.lit(".*"))).otherwise(F.concat(F.lit("os.path"), k.cast("string"))))
     return R.python_imports(_edges(base, dst), e, files).select("edge", "dst_id", "confidence")
 
@@ -228,14 +228,14 @@ QUERIES = {
 }
 
 _NEW = "new AS (SELECT path, language, CASE WHEN indexed % 5 = 0 THEN sha256(hash || 'x') ELSE hash END AS hash, loc, indexed FROM files WHERE indexed % 7 <> 0)"
-_F = "'src/pkg/b' || {0} % 20 || '/m' || {0} || '.py'"
-_MOD = "'py:src/pkg/b' || {0} % 20 || '/m' || {0} || '.py:src.pkg.b' || {0} % 20 || '.m' || {0}"
-_FN = "'py:src/pkg/b' || {0} % 20 || '/m' || {0} || '.py:f' || {0}"
+_F = "'src/prog/b' || {0} % 20 || '/m' || {0} || '.py'"
+_MOD = "'py:src/prog/b' || {0} % 20 || '/m' || {0} || '.py:src.prog.b' || {0} % 20 || '.m' || {0}"
+_FN = "'py:src/prog/b' || {0} % 20 || '/m' || {0} || '.py:f' || {0}"
 _N = "n AS (SELECT count(*) AS n FROM part), p AS (SELECT p_partkey AS k FROM part)"
 _J = "(k + 1)"
 _PY = (
     f"SELECT k AS edge, CASE WHEN k % 4 = 3 THEN 'external:os.path' || k WHEN k + 1 < n AND k % 4 = 0 THEN {_MOD.format(_J)} WHEN k + 1 < n AND k % 4 = 1 THEN {_FN.format(_J)} WHEN k + 1 < n THEN 'wildcard:py:' || {_F.format(_J)} "
-    f"ELSE 'external:pkg.b' || {_J} % 20 || '.m' || {_J} || CASE k % 4 WHEN 1 THEN '.f' || {_J} WHEN 2 THEN '.*' ELSE '' END END AS dst_id, CASE WHEN k % 4 = 3 OR k + 1 >= n THEN 0.5 WHEN k % 4 = 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM p, n"
+    f"ELSE 'external:prog.b' || {_J} % 20 || '.m' || {_J} || CASE k % 4 WHEN 1 THEN '.f' || {_J} WHEN 2 THEN '.*' ELSE '' END END AS dst_id, CASE WHEN k % 4 = 3 OR k + 1 >= n THEN 0.5 WHEN k % 4 = 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM p, n"
 )
 _EVENTS = "ev AS (SELECT 'src/u' || user_id || '.py' AS path, 'src/v' || user_id || '.py' AS dest, CASE WHEN event_id % 9 = 0 THEN 'moved' WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS action, ts, event_id FROM events), rel AS (SELECT path, action, ts FROM ev WHERE action <> 'moved' UNION ALL SELECT path, 'deleted', ts FROM ev WHERE action = 'moved' UNION ALL SELECT dest, 'modified', ts FROM ev WHERE action = 'moved')"
 _SESSIONS = "g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY path ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM rel), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS sid FROM g), deb AS (SELECT path, arg_max(action, epoch_us(ts)::VARCHAR || action) AS action, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last, count(*) AS n FROM s GROUP BY path, sid)"

@@ -133,13 +133,13 @@ SQL = {
     "embed_input": A.with_sql(f"SELECT entity_id, sha256({_INPUT}) AS hash FROM entities"),
     "embed_drift": A.with_sql(f"SELECT entity_id, sha256({_INPUT}) AS hash FROM entities WHERE length(entity_id) % 3 <> 0"),
     "rag_retrieve": A.with_sql(
-        "SELECT entity_id, via, round(0.6 * greatest(coalesce(sim, 0), 0) + 0.3 * coalesce(ln(1 + degree) / nullif(ln(1 + max(degree) OVER ()), 0), 0) + 0.1 * coalesce((at - min(at) OVER ())::DOUBLE / nullif(max(at) OVER () - min(at) OVER (), 0), 0), 6) AS score FROM c ORDER BY score DESC, entity_id LIMIT 15",
+        "SELECT entity_id, via, round(0.6 * greatest(coalesce(sim, 0), 0) + 0.3 * coalesce(ln(1 + degree) / nullif(ln(1 + max(degree) OVER ()), 0), 0) + 0.1 * coalesce((ix - min(ix) OVER ())::DOUBLE / nullif(max(ix) OVER () - min(ix) OVER (), 0), 0), 6) AS score FROM c ORDER BY score DESC, entity_id LIMIT 15",
         _NAMED,
         "vec AS (SELECT entity_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings JOIN named ON v = vec_id)",
         "seeds AS (SELECT entity_id FROM vec ORDER BY round(sim, 6) DESC, entity_id LIMIT 30)",
         "near AS (SELECT DISTINCT n AS entity_id FROM (SELECT dst_id AS n FROM edges JOIN seeds ON entity_id = src_id WHERE type IN ('calls', 'imports') UNION SELECT src_id FROM edges JOIN seeds ON entity_id = dst_id WHERE type IN ('calls', 'imports')) WHERE n IN (SELECT entity_id FROM named) AND n NOT IN (SELECT entity_id FROM seeds))",
         "deg AS (SELECT entity_id, count(*) AS degree FROM (SELECT src_id AS entity_id FROM edges UNION ALL SELECT dst_id FROM edges WHERE dst_id <> src_id) GROUP BY 1)",
-        "c AS (SELECT b.entity_id, via, vec.sim, coalesce(degree, 0) AS degree, length(file) AS at FROM (SELECT entity_id, 'vector' AS via FROM seeds UNION ALL SELECT entity_id, 'graph' FROM near) b JOIN named USING (entity_id) LEFT JOIN vec ON vec.entity_id = b.entity_id LEFT JOIN deg ON deg.entity_id = b.entity_id)",
+        "c AS (SELECT b.entity_id, via, vec.sim, coalesce(degree, 0) AS degree, length(file) AS ix FROM (SELECT entity_id, 'vector' AS via FROM seeds UNION ALL SELECT entity_id, 'graph' FROM near) b JOIN named USING (entity_id) LEFT JOIN vec ON vec.entity_id = b.entity_id LEFT JOIN deg ON deg.entity_id = b.entity_id)",
     ),
     "prompt_budget": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rank, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS k FROM conversations WHERE conv_id < 20), s AS (SELECT conv_id, turn, rank::INT AS rank, sum(k) OVER (ORDER BY rank)::BIGINT AS total FROM c) SELECT * FROM s WHERE total <= 500 OR rank = 1",
     "source_preview": A.with_sql("SELECT entity_id, array_to_string(list_slice(l, 1, 3), chr(10)) || CASE WHEN len(l) > 3 THEN chr(10) || '...' ELSE '' END AS preview FROM (SELECT entity_id, string_split(CASE WHEN raw_source LIKE '%' || chr(10) THEN substring(raw_source, 1, length(raw_source) - 1) ELSE raw_source END, chr(10)) AS l FROM entities WHERE raw_source IS NOT NULL)"),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PREFIX
+from ..ship import ship
 
 ENTITY = "entity_id string, type string, name string, qualified_name string, language string, file string, start_line int, end_line int, start_col int, end_col int, raw_source string, docstring string, signature string, is_exported boolean, is_async boolean, parent_id string, hash string"
 EDGE = "src_id string, dst_id string, type string, line int, confidence float, is_dynamic boolean, file string"
@@ -390,6 +391,7 @@ def parsed(files: DataFrame) -> DataFrame:
             done = [parse(*r) for r in d[["path", "source", "language"]].itertuples(index=False)]
             yield pd.DataFrame({"path": d["path"], "entities": [x.entities for x in done], "edges": [x.edges for x in done], "errors": [x.errors for x in done]})
 
+    ship(files.sparkSession)
     return files.select("path", "source", "language").mapInPandas(run, RESULT)
 
 

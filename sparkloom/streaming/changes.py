@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..ship import ship
 from ..sources import walk
 
 #: Failures in a row after which a path is left alone.
@@ -71,6 +72,7 @@ def quarantine_stream(results: DataFrame, most: int = QUARANTINE) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "seq", "failures", "quarantined"])
         state.update((n,))
 
+    ship(results.sparkSession)
     out = "path string, seq long, failures long, quarantined boolean"
     return results.groupBy("path").applyInPandasWithState(step, out, "n long", "append", GroupStateTimeout.NoTimeout)
 
