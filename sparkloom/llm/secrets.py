@@ -24,7 +24,7 @@ SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "cnn"]
 KEYWORDS = ("passw", "secret", "token", "api")
 #: A run of these, this long, is a candidate if it has a digit or changes case at least twice.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: Characters of context before and after a candidate, and of the candidate itself, that the network sees.
 BEFORE, INSIDE, AFTER = 24, 40, 8
