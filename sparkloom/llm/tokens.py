@@ -21,7 +21,7 @@ CHUNK = 32_768
 #: Characters by which neighbouring chunks overlap at first; doubled as long as they don't align.
 OVERLAP = 256
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def tokenizer(path: str):
@@ -128,7 +128,7 @@ class WordIds(dict):
 
     def __init__(self, path: str, most: int = REMEMBERED):
         super().__init__()
-        self.tokenizer, self.most = tokenizer(path), most
+        self.path, self.most = path, most
         self.merge, self.pieces = _fast(path), regex.compile(PIECES)
 
     def __missing__(self, word: str) -> bytes:
@@ -141,7 +141,7 @@ class WordIds(dict):
             else:
                 ids = [i for piece in self.pieces.findall(low) for i in self.merge(piece.encode() + b"\xff")]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = tokenizer(self.path).encode(word, add_special_tokens=False).ids  # loaded once it is needed
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.most:
             self[word] = out
