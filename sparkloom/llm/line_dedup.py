@@ -105,19 +105,20 @@ def neighbours(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc, mark, nos): the numbers of the lines of each document that repeat an earlier line."""
-    lines = _hashed(lines_of(docs))
+    texts = _hashed(lines_of(docs))
+    n = F.length("norm")
+    halves = F.array_distinct(F.array(*[_side(side, k) for side in "ps" for k in (n, n - 1)]))
+    lines, _ = written(texts.select("doc", "mark", "no", "h", halves.alias("halves")), "lines")
     place = F.struct("doc", "no")
-    distinct = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.max(F.length("norm")).alias("n"))
-    firsts, _ = written(distinct, "lines")
+    distinct = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts, _ = written(distinct.where("copies > 1").select("h", "first"), "repeated")
     # lines that share the first or last half with another, before their texts are fetched
-    n = F.length("norm")
-    halves = lambda side: [_side(side, n), _side(side, n - 1)]
-    keyed = lines.select("h", F.explode(F.array_distinct(F.array(*halves("p"), *halves("s")))).alias("k"))
+    keyed = lines.select("h", F.explode("halves").alias("k"))
     shared = keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k")
     few, _ = written(keyed.join(shared, "k", "left_semi").select("h").distinct(), "candidates")
-    some, _ = written(_semi(lines, few, "h").groupBy("h").agg(F.min(place).alias("first"), F.first("norm").alias("norm")), "candidates")
+    some, _ = written(_semi(texts, few, "h").groupBy("h").agg(F.min(place).alias("first"), F.first("norm").alias("norm")), "candidates")
     near, _ = written(neighbours(some), "neighbours")
-    until = firsts.where("copies > 1").select("h", "first").unionAll(near.toDF("h", "first")).groupBy("h").agg(F.min("first").alias("stays"))
+    until = firsts.unionAll(near.toDF("h", "first")).groupBy("h").agg(F.min("first").alias("stays"))
     late = lines.select("doc", "mark", "no", "h").join(until, "h").where(place > F.col("stays"))
     return late.groupBy("doc", "mark").agg(F.collect_set("no").alias("nos"))
 
@@ -139,7 +140,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     t = text_or_empty()
     keyed = plain.withColumn("__mark", F.xxhash64(t))
     gone = gone.withColumnsRenamed({"doc": "__doc", "mark": "__gone"})
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__doc"]) & (F.col("__mark") == F.col("__gone")), "left")
+    # the smaller side is hashed: the texts need no sort
+    joined = keyed.join(gone.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(gone["__doc"]) & (F.col("__mark") == F.col("__gone")), "left")
     all_lines = F.split(t, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("nos"))
     text = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
