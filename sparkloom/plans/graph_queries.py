@@ -14,17 +14,14 @@ from . import adapter as A
 _NATION = "tbl:nation:NATION_3"
 
 
-def _seed(spark, d, kind="function"):
-    return A.entities(spark, d).where(F.col("type") == kind).agg(F.min("entity_id")).first()[0]
-
-
 def impact_callers(spark, d):
     e = A.edges(spark, d)
     return G.callers(e, e.where("type = 'calls' and dst_id like 'py:%'").agg(F.min("dst_id")).first()[0], 3)
 
 
 def deps_bfs(spark, d):
-    return G.dependencies(A.edges(spark, d), A.entities(spark, d), _seed(spark, d, "method"), 3)
+    e = A.edges(spark, d)
+    return G.dependencies(e, A.entities(spark, d), e.where("type = 'calls' and src_id like 'py:%'").agg(F.max("src_id")).first()[0], 3)
 
 
 def shortest_path(spark, d):
@@ -133,7 +130,7 @@ _TOK = "CASE WHEN coalesce(length({0}), 0) > 0 THEN greatest(1, length({0}) // 4
 _HOT = "SELECT entity_id, name, file, fan_in FROM (SELECT dst_id, count(*) AS fan_in FROM edges WHERE type = 'calls' AND NOT starts_with(dst_id, 'external:') AND NOT starts_with(dst_id, 'route:') AND NOT starts_with(dst_id, 'wildcard:') GROUP BY 1 ORDER BY fan_in DESC, dst_id LIMIT 8) h JOIN entities ON dst_id = entity_id"
 _ENTRY = "SELECT src_id AS route, dst_id AS handler FROM edges WHERE starts_with(src_id, 'route:') ORDER BY 1, 2 LIMIT 8"
 _REACH_BACK = "walk AS (SELECT min(dst_id) AS node, 0 AS dist FROM edges WHERE type = 'calls' AND dst_id LIKE 'py:%' UNION SELECT e.src_id, w.dist + 1 FROM walk w JOIN edges e ON e.dst_id = w.node AND e.type = 'calls' WHERE w.dist < 2), near AS (SELECT node, min(dist) AS dist FROM walk GROUP BY 1)"
-_REACH = "walk AS (SELECT min(entity_id) AS node, 0 AS dist FROM entities WHERE type = 'method' UNION SELECT e.dst_id, w.dist + 1 FROM walk w JOIN edges e ON e.src_id = w.node AND e.type IN ('calls', 'imports') JOIN entities t ON t.entity_id = e.dst_id WHERE w.dist < 2), near AS (SELECT node, min(dist) AS dist FROM walk GROUP BY 1)"
+_REACH = "walk AS (SELECT max(src_id) AS node, 0 AS dist FROM edges WHERE type = 'calls' AND src_id LIKE 'py:%' UNION SELECT e.dst_id, w.dist + 1 FROM walk w JOIN edges e ON e.src_id = w.node AND e.type IN ('calls', 'imports') JOIN entities t ON t.entity_id = e.dst_id WHERE w.dist < 2), near AS (SELECT node, min(dist) AS dist FROM walk GROUP BY 1)"
 
 SQL = {
     "impact_callers": A.with_sql("SELECT DISTINCT e.dst_id AS callee, e.src_id AS caller, n.dist + 1 AS dist FROM near n JOIN edges e ON e.dst_id = n.node AND e.type = 'calls'", _REACH_BACK),
