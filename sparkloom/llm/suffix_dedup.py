@@ -16,11 +16,13 @@ from .induced import Sorter
 #: Bytes of the grams of which each window chooses one; a shorter gram makes fewer contexts but more chance matches.
 GRAM = 32
 #: Bytes of a long text whose windows are chosen at once, and of contexts after which a shard is sorted.
-STRIDE, SHARD = 1 << 20, 1 << 22
+STRIDE, SHARD = 1 << 20, 1 << 20
 #: Rows of copies (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _P, _C = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(127)
+#: Bits of a gram's place in its key: of equal grams the leftmost is chosen, but where the place wraps around.
+_BITS = 12
+_LOW = np.uint64((1 << _BITS) - 1)
 
 
 def _chosen(b: np.ndarray, base: int, span: int) -> tuple[np.ndarray, ...]:
@@ -42,7 +44,7 @@ def _chosen(b: np.ndarray, base: int, span: int) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(np.diff(m)) + 1
     lo = np.concatenate([[0], cut])
     own, lo, hi = m[lo], lo + base, np.concatenate([cut - 1, [len(m) - 1]]) + base
-    return (own >> np.uint64(7)).astype(np.int64), lo, hi, lo + ((own & _LOW).astype(np.int64) - lo) % 128
+    return (own >> np.uint64(_BITS)).astype(np.int64), lo, hi, lo + ((own & _LOW).astype(np.int64) - lo) % (1 << _BITS)
 
 
 def runs(text: bytes, span: int) -> tuple[np.ndarray, ...]:
@@ -59,7 +61,7 @@ def runs(text: bytes, span: int) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(docs: DataFrame, span: int) -> DataFrame:
-    """(hash, doc, place) of docs (doc, text): place is lo, hi - lo and what is known of the hash, packed.
+    """(hash, doc, place) of docs (doc, text): place is lo, the gram's place from lo, hi - lo and what is known of the hash, packed.
 
     A hash that occurs twice in a batch is known to repeat there, and one whose gram
     is twice within its windows may have equal ones; such rows (1) are dealt out at
@@ -74,7 +76,7 @@ def _anchors(docs: DataFrame, span: int) -> DataFrame:
                 hs.append(h)
                 docs.append(np.full(len(h), doc, np.int64))
                 again = [text.find(text[i : i + GRAM], a, b + span) != i or text.find(text[i : i + GRAM], i + 1, b + span) >= 0 for a, b, i in zip(lo.tolist(), hi.tolist(), at.tolist())]
-                places.append(lo << 9 | (hi - lo) << 2 | np.array(again, np.int64))
+                places.append(lo << 17 | (at - lo) << 9 | (hi - lo) << 2 | np.array(again, np.int64))
             if not hs:
                 continue
             h, d, p = map(np.concatenate, (hs, docs, places))
@@ -110,7 +112,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out[1]), pa.array(out[0]), pa.array(out[2])], ["doc", "hash", "place"])
 
 
-_OUT = "kind int, hash long, rank long, doc long, lo long, hi long, context binary"
+_OUT = "kind int, hash long, rank long, doc long, lo long, hi long, context binary, gram long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -120,29 +122,29 @@ def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
         rows = []
         for doc, rank, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
             for x in wanted:
-                lo, more = x["place"] >> 9, x["place"] >> 2 & 127
+                lo, more, gram = x["place"] >> 17, x["place"] >> 2 & 127, x["place"] >> 9 & 255
                 context = text[lo : lo + more + span]
-                rows.append((x["hash"], rank, doc, lo, lo + more, context))
+                rows.append((x["hash"], rank, doc, lo, lo + more, context, gram))
                 at = (rank, doc, lo)
                 if context not in first or at < first[context]:
                     first[context] = at
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         given = set()
-        for h, rank, doc, lo, hi, context in rows:
+        for h, rank, doc, lo, hi, context, gram in rows:
             own = first[context] == (rank, doc, lo)
             if own and context in given:
                 continue
             if own:
                 given.add(context)
-            for c, v in zip(out, (0 if own else 1, h, rank, doc, lo, hi, context if own else None)):
+            for c, v in zip(out, (0 if own else 1, h, rank, doc, lo, hi, context if own else None, gram)):
                 c.append(v)
         if out[0]:
             yield _batch(out)
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "hash", "rank", "doc", "lo", "hi", "context"])
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "hash", "rank", "doc", "lo", "hi", "context", "gram"])
 
 
 def repeated_windows(contexts: list[tuple[bytes, tuple[int, int, int]]], span: int) -> Iterator[tuple[int, int, int]]:
@@ -189,29 +191,31 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
     shard: list[tuple[bytes, tuple[int, int, int]]] = []
     size, now = 0, None
     own: dict[bytes, tuple[int, int, int]] = {}
+    grams: dict[bytes, int] = {}
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for rank, doc, start in repeated_windows(shard, span):
-            for c, v in zip(out, (1, 0, rank, doc, start, start, None)):
+            for c, v in zip(out, (1, 0, rank, doc, start, start, None, 0)):
                 c.append(v)
             if len(out[0]) >= 1 << 15:
                 yield _batch(out)
-                out = [[] for _ in range(7)]
+                out = [[] for _ in range(8)]
         if out[0]:
             yield _batch(out)
 
     def take() -> None:
-        """The hash's contexts join the shard if windows of different contexts, or of one, can be equal."""
+        """The hash's contexts that may hold equal windows join the shard."""
         nonlocal size
-        if len(own) > 1 or any(_periodic(c, span) for c in own):
-            shard.extend(own.items())
-            size += sum(map(len, own))
+        for c in _sharing(grams, span):
+            shard.append((c, own[c]))
+            size += len(c)
         own.clear()
+        grams.clear()
 
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for h, rank, doc, lo, hi, context in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
+        out: list[list] = [[] for _ in range(8)]
+        for h, rank, doc, lo, hi, context, gram in zip(*(b.column(i).to_pylist() for i in range(1, 8))):
             if h != now:
                 take()
                 now = h
@@ -223,9 +227,10 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
             old = own.get(context)
             if old is None or place < old:
                 own[context] = place
+            grams.setdefault(context, gram)
             late = max(place, old) if old is not None and place != old else None
             if late:
-                for c, v in zip(out, (1, h, late[0], late[1], late[2], late[2] + hi - lo, None)):
+                for c, v in zip(out, (1, h, late[0], late[1], late[2], late[2] + hi - lo, None, 0)):
                     c.append(v)
         if out[0]:
             yield _batch(out)
@@ -234,6 +239,34 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
         yield from flushed()
 
 
+def _sharing(grams: dict[bytes, int], span: int) -> list[bytes]:
+    """Contexts of one hash (and the place of the chosen gram) that may hold a window equal to another one of theirs.
+
+    A window reaches some way before its gram and the rest behind it. By the
+    quarter that the way before falls in, it holds one of four stretches about the
+    gram, three quarters of the rest long; equal windows hold equal ones. Contexts
+    with the gram at several places are taken if they, or others, can match.
+    """
+    quarter = -(-(span - GRAM) // 4)
+    by: dict[tuple[int, bytes], bytes] = {}
+    out: set[bytes] = set()
+    for c, at in grams.items():
+        gram = c[at : at + GRAM]
+        places = [c.find(gram)]
+        while (i := c.find(gram, places[-1] + 1)) >= 0:
+            places.append(i)
+        if len(places) > 1 and (len(grams) > 1 or _periodic(c, span)):
+            out.add(c)
+        for i in places:
+            for j in range(4):
+                low, high = i - quarter * j, i + span - quarter * (j + 1)
+                if low >= 0 and i + GRAM <= high <= len(c):
+                    other = by.setdefault((j, c[low:high]), c)
+                    if other is not c:
+                        out |= {c, other}
+    return sorted(out)
+
+
 def _periodic(c: bytes, span: int) -> bool:
     """Whether two windows of a context may be equal: its last window's first bytes also begin an earlier one."""
     return len(c) > span and any(c.find(c[i : i + 16], i + 1, len(c) - span + 16) >= 0 for i in range(len(c) - span))
