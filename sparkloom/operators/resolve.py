@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
 from ..schemas import EDGE_KEY
 
 # Directories below which importable packages begin.
@@ -185,7 +186,9 @@ def method_calls(edges: DataFrame, entities: DataFrame, imports: DataFrame, base
     parts = [_cand(e.join(counted.where("n = 1"), "q"), 1, 0.9), _cand(e.join(counted.where(f"n <= {AMBIGUOUS}").select("q"), "q").join(in_file, ["q", "file"]), 2, 0.9, "own")]
     at = e.select("edge", "file", "name", "cls")
     for d in range(1, levels + 1):
-        at = at.join(bases, "cls").select("edge", "file", "name", F.col("base").alias("cls")).distinct()
+        at = cut(at.join(bases, "cls").select("edge", "file", "name", F.col("base").alias("cls")).distinct())
+        if at.isEmpty():
+            break
         q = at.withColumn("q", F.concat_ws(".", "cls", "name"))
         parts += [_cand(q.join(counted.where("n = 1"), "q"), 2 + d, 0.8), _cand(q.join(in_file, ["q", "file"]), 2 + d, 0.8, "own")]
     same = e.join(by_file_name(entities), ["file", "name"])
@@ -223,9 +226,10 @@ def resolve(raw: DataFrame, entities: DataFrame, files: DataFrame, aliases: dict
     d = F.col("dst_id")
     cols = ["src_id", "dst_id", "type", "line", "confidence", "is_dynamic"]
     take = lambda df: df.select(*[F.col(c) for c in ("edge", "file", *cols)])
-    done_inherits = inherits(e.where(d.startswith("?inherits:")), entities)
+    e = cut(e)
+    done_inherits = cut(inherits(e.where(d.startswith("?inherits:")), entities))
     imported = [python_imports(e.where(d.startswith("py:?:")), entities, files), relative_imports(e.where(d.startswith("py:?rel")), entities, files), script_imports(e.where(d.rlike(r"^(ts|js):\?:")), entities, files, aliases), path_imports(e.where(d.rlike(r"^(go|rs|java|rb|php|c|cpp|kt|scala|html):\?:")), entities, files)]
-    done_imports = reduce(DataFrame.unionByName, map(take, imported))
+    done_imports = cut(reduce(DataFrame.unionByName, map(take, imported)))
     table = done_imports.join(entities.select(F.col("entity_id").alias("dst_id"), "name"), "dst_id").select("file", "name", F.col("dst_id").alias("id"))
     last = lambda c: F.element_at(F.split(c, r"[:.]"), -1)
     bases = done_inherits.select(last("src_id").alias("cls"), last("dst_id").alias("base")).distinct()

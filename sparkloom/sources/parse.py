@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
 from ..schemas import PREFIX
 from ..ship import ship
 
@@ -397,6 +398,6 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def entities_and_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The parsed files' entities and raw edges as tables; edges keep the file they come from."""
-    rows = parsed(files)
+    rows = cut(parsed(files))  # each file is parsed once, however often its rows are read
     e = rows.select(F.explode("entities").alias("e")).select("e.*")
     return e, rows.select(F.explode("edges").alias("r")).select("r.*")
