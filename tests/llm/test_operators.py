@@ -320,7 +320,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_secret_scan(spark, docs, none):
-    key = "".join(random.Random(8).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    key = "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
     texts = ['a Token = "abcdef12" b', "password: abc", "é AKIA" + "A1" * 8 + " AKIAX", "x " + "0af" * 8 + " y", f"auth key={key} end", None, "token=tokentoken", "ſecret=abcdefgh"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.scan(df).collect()}
