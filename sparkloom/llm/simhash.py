@@ -18,16 +18,23 @@ from .components import components
 BUCKET = 4096
 #: Times a large bucket is dealt out anew before it is compared block by block whatever its size.
 LEVELS = 6
+#: Bands of least hashes and hashes in each: a pair of similarity s shares a band with probability 1 - (1 - s^DEPTH)^BANDS, 0.9999 at 0.8.
+BANDS, DEPTH = 24, 5
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
     """64-bit SimHash of the shingles of lower-cased words; 0 without words."""
     words = text.lower().split()  # bytes: A-Z only, and white space is \x20 and \x09-\x0D
-    if not words:
-        return 0
+    return _majority(_hashes(words, shingle)) if words else 0
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(h[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -187,6 +194,33 @@ def similarity(x: bytes, y: bytes, k: int) -> float:
     return both / (len(a) + len(b) - both)
 
 
+_R = np.random.default_rng(3)
+_TIMES, _PLUS = _R.integers(0, 1 << 64, (2, BANDS * DEPTH), np.uint64)
+_TIMES |= np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """Key of each band of least hashes, from the hashes of a text's shingles."""
+    least = np.full(BANDS * DEPTH, _ONES)
+    for i in range(0, len(h), 4096):  # bounded memory for very long texts
+        least = np.minimum(least, (h[i : i + 4096, None] * _TIMES + _PLUS).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=j) for j, x in enumerate(least.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc, fp and the keys of the bands of each row of docs (doc, text)."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [x.lower().split() for x in b.column(1).to_pylist()]
+            h = [_hashes(w, shingle) for w in words]
+            fp = np.array([_majority(x) if w else 0 for w, x in zip(words, h)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([bands(x) for x in h], pa.list_(pa.int64()))], ["doc", "fp", "bands"])
+
+    return docs.select("doc", text_or_empty().cast("binary").alias("text")).mapInArrow(run, "doc long, fp long, bands array<long>")
+
+
 def _partners(table: DataFrame, most: int, reach: int) -> DataFrame:
     """For each row wanted of a bucket its first `most` earlier rows within `reach` bits, and whether there are more."""
 
@@ -210,8 +244,9 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
 
     Similarity is the Jaccard similarity of sets of `shingle`-word shingles of
     lower-cased words, checked on the texts. Candidates are all pairs of
-    fingerprints within `radius` bits, and those within `reach` bits that meet
-    under a mask. A row without words counts as a copy of any other such row.
+    fingerprints within `radius` bits, those within `reach` bits that meet
+    under a mask, and, as pairs of similarity 0.8 differ in 10 bits and more, all
+    pairs that share a band of least hashes, whatever their fingerprints. A row without words counts as a copy of any other such row.
     Null texts are empty; null doc_ids come last. Rows with the same text keep the
     smallest doc_id, repeated rows one. All columns come back as they are.
 
@@ -224,10 +259,14 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     h = [F.xxhash64(text_or_empty()).alias("__h1"), F.xxhash64(F.lit(1), text_or_empty()).alias("__h2")]
     marked = plain.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     groups, p0 = written(marked.select("__doc", *h).groupBy("__h1", "__h2").agg(F.min("__doc").alias("doc"), F.count(F.lit(1)).alias("n")), "texts")
-    prints = fingerprints(marked.select(F.col("__doc").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "doc")
+    prints = _sketches(marked.select(F.col("__doc").alias("doc"), "text"), shingle)
     first = groups.select("doc")
     rows, p1 = written(prints.join(first, "doc", "left_semi").distinct(), "fingerprints")
-    buckets, p2 = written(dealt(rows.select("doc", "fp"), radius).select("key", "doc", "fp").mapInArrow(_in_company, "key long, doc long, fp long"), "buckets")
+    masked = dealt(rows.select("doc", "fp"), radius).select("key", "doc", "fp")
+    # equal fp in a band's bucket: all its members are candidates
+    banded = rows.select(F.explode("bands").alias("key"), "doc", F.lit(0).cast("long").alias("fp")).repartition("key").sortWithinPartitions("key", "doc")
+    company = [x.mapInArrow(_in_company, "key long, doc long, fp long") for x in (masked, banded)]
+    buckets, p2 = written(company[0].unionAll(company[1]), "buckets")
     copies, tried, most, p3 = None, None, 1, []
     lost = spark.createDataFrame([], "a long")
     while True:

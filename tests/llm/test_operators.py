@@ -158,6 +158,23 @@ def test_near_copies_keep_the_first(docs, none):
     assert simhash.without_near_copies(none).columns == none.columns
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Brute force over many pairs of similarity 0.80 to 0.90, whose fingerprints differ in far more than 6 bits."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(200):
+        w = words(r.randint(60, 300), r).split(" ")
+        texts.append(" ".join(w))
+        for k in r.sample(range(len(w)), max(1, round(len(w) * r.uniform(0.010, 0.024)))):
+            w[k] = "changed"
+        texts.append(" ".join(w))
+    sim = [simhash.similarity(texts[i].encode(), texts[i + 1].encode(), 5) for i in range(0, len(texts), 2)]
+    assert sum(0.8 <= s <= 0.9 for s in sim) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in simhash.without_near_copies(df).collect()}
+    assert kept == set(range(len(texts))) - {2 * i + 1 for i, s in enumerate(sim) if s >= 0.8}
+
+
 def test_decontamination(spark, docs, none):
     item = words(40).split()
     swapped = " ".join(item[20:] + ["between", "them"] + item[:20])
