@@ -222,36 +222,40 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _partners(table: DataFrame, most: int, reach: int) -> DataFrame:
-    """For each row wanted of a bucket its first `most` earlier rows within `reach` bits, and whether there are more."""
+    """For each row of a bucket its first `most` earlier rows within `reach` bits that have another root, and whether there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _runs(batches, None):
-            doc, fp, want = piece[:, 1], piece[:, 2].view(np.uint64), piece[:, 3]
+            doc, fp, root = piece[:, 1], piece[:, 2].view(np.uint64), piece[:, 3]
+            if (root == root[0]).all():
+                continue
             for i in range(0, len(doc), 256):
                 near = _near(fp[i : i + 256], fp[: i + 256], reach)
                 own = np.arange(i, min(i + 256, len(doc)))
-                near &= (doc[None, : i + 256] < doc[own][:, None]) & (want[own] == 1)[:, None]
+                near &= (doc[None, : i + 256] < doc[own][:, None]) & (root[None, : i + 256] != root[own][:, None])
                 nth = near.cumsum(axis=1)
                 x, y = np.nonzero(near & (nth <= most))
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(doc[own][x]), pa.array(doc[y]), pa.array((near.sum(axis=1) > most)[x])], ["a", "b", "more"])
 
-    return table.select("key", "doc", "fp", "want").mapInArrow(run, "a long, b long, more boolean")
+    return table.select("key", "doc", "fp", "root").mapInArrow(run, "a long, b long, more boolean")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 6, reach: int = 20) -> DataFrame:
-    """docs without the rows that have an earlier row (smaller doc_id) of similarity `least` or more; the first of each group stays.
+    """docs with one row, that of the smallest doc_id, of each group of rows linked by a similarity of `least` or more, directly or in steps.
 
     Similarity is the Jaccard similarity of sets of `shingle`-word shingles of
     lower-cased words, checked on the texts. Candidates are all pairs of
     fingerprints within `radius` bits, those within `reach` bits that meet
     under a mask, and, as pairs of similarity 0.8 differ in 10 bits and more, all
-    pairs that share a band of least hashes, whatever their fingerprints. A row without words counts as a copy of any other such row.
-    Null texts are empty; null doc_ids come last. Rows with the same text keep the
-    smallest doc_id, repeated rows one. All columns come back as they are.
-
-    A row is first checked against its first candidate, then, if not settled,
-    against more and more of them, so a large group gives no pairs of its members.
+    pairs that share a band of least hashes, whatever their fingerprints. A row
+    without words counts as a copy of any other such row. Null texts are empty;
+    null doc_ids come last. Rows with the same text keep the smallest doc_id,
+    repeated rows one. All columns come back as they are.
+
+    A row is first checked against its first candidate, then against more and
+    more of those that are not in its group yet, until none is left unchecked; so
+    a large group gives no pairs of its members.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -267,18 +271,23 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     banded = rows.select(F.explode("bands").alias("key"), "doc", F.lit(0).cast("long").alias("fp")).repartition("key").sortWithinPartitions("key", "doc")
     company = [x.mapInArrow(_in_company, "key long, doc long, fp long") for x in (masked, banded)]
     buckets, p2 = written(company[0].unionAll(company[1]), "buckets")
-    copies, tried, most, p3 = None, None, 1, []
-    lost = spark.createDataFrame([], "a long")
+    most, links = 1, spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "doc long, root long")
     while True:
-        want = buckets.join(lost.withColumn("gone", F.lit(1)).withColumnRenamed("a", "doc"), "doc", "left").withColumn("want", F.when(F.col("gone").isNull(), 1).otherwise(0).cast("long"))
-        pairs, path = written(_partners(want.repartition("key").sortWithinPartitions("key", "doc"), most, reach).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        good, path2 = written(_verified(marked, pairs, shingle, least), "copies")
-        p3 += [path, path2]
-        lost = lost.unionAll(good.select("a")).distinct()
-        if pairs.where("more").join(lost, "a", "left_anti").isEmpty():
+        placed = buckets.join(roots, "doc", "left").select("key", "doc", "fp", F.coalesce("root", "doc").alias("root"))
+        pairs = _partners(placed.repartition("key").sortWithinPartitions("key", "doc"), most, reach)
+        # the first candidates over all buckets
+        tried = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"), F.max("more").alias("more"))
+        tried, _ = written(tried.select("a", F.slice("b", 1, most).alias("b"), (F.col("more") | (F.size("b") > most)).alias("more")), "pairs")
+        if tried.isEmpty():
+            break
+        good, _ = written(_verified(marked, tried.select("a", F.explode("b").alias("b")), shingle, least), "copies")
+        links = links.unionAll(good)
+        roots = components(links).toDF("doc", "root")
+        if tried.where("more").isEmpty():
             break
         most *= 16
-    keep = groups.join(lost.withColumnRenamed("a", "doc"), "doc", "left_anti").select(F.col("doc").alias("__doc"), "__h1", "__h2")
+    keep = groups.join(roots, "doc", "left_anti").select(F.col("doc").alias("__doc"), "__h1", "__h2")
     out = marked.select("*", *h).join(keep, ["__doc", "__h1", "__h2"], "left_semi")
     if not groups.where("n > 1").isEmpty():  # rows of the same doc_id and text
         twice = marked.select("__doc", *h).groupBy("__doc", "__h1", "__h2").count().where("count > 1")

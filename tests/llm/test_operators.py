@@ -175,6 +175,19 @@ def test_near_copies_at_the_threshold(spark):
     assert kept == set(range(len(texts))) - {2 * i + 1 for i, s in enumerate(sim) if s >= 0.8}
 
 
+def test_near_copies_linked_in_steps(spark):
+    """1 and 2 are not alike, but both are like 3, which comes last."""
+    w = words(200, random.Random(13)).split(" ")
+    x, y = w[:], w[:]
+    for k in (20, 60, 100):
+        x[k] = y[k + 60] = "changed"
+    texts = [" ".join(z) for z in (x, y, w)]
+    like = [simhash.similarity(texts[i].encode(), texts[j].encode(), 5) >= 0.8 for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert like == [False, True, True]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.without_near_copies(df).collect()] == [1]
+
+
 def test_decontamination(spark, docs, none):
     item = words(40).split()
     swapped = " ".join(item[20:] + ["between", "them"] + item[:20])
