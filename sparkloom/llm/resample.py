@@ -15,10 +15,8 @@ from .common import only, prepare, text_or_empty, written
 GRAM, BUCKETS = 5, 1 << 20
 #: Labelled rows, the smallest by a hash of their doc_id, from which the target model is fitted: a bound on what is broadcast.
 TARGETS = 20_000
-#: Pseudo-count of either model, and the log ratio that a bucket must exceed to count, less than that being noise of counts.
-PRIOR, NOISE = 5.0, 2.0
-#: Evidence against a document, in nats, that counts as none.
-SLACK = 4.0
+#: Pseudo-count of either model, and how many standard errors of its counts a bucket's log ratio must exceed to count.
+PRIOR, ERRORS = 0.5, 3.0
 CHUNK = 1024
 
 
@@ -86,15 +84,17 @@ def log_weight(g: np.ndarray, target: np.ndarray, raw: np.ndarray, share: float,
     """Log of target over raw likelihood of a document's n-grams, at most 0.
 
     The document's own counts are left out of both models, so it isn't judged by
-    itself. Buckets whose ratio is within the noise of counts are passed over, and
-    weights over 1 are cut to 1, so that none takes over the sample.
+    itself. Each bucket's log ratio is shrunk by its standard error, which falls as
+    the counts grow: less the more certain it is, to nothing below ERRORS of them.
+    Weights over 1 are cut to 1, so that none takes over the sample.
     """
     if not len(g):
         return 0.0
     k, n = np.unique(g, return_counts=True)
-    ratio = np.log((target[k] - (n if own else 0) + PRIOR) / (share * (raw[k] - n) + PRIOR))
-    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - NOISE, 0)
-    return float(min(0.0, (ratio * n).sum() + SLACK))
+    seen, due = target[k] - (n if own else 0) + PRIOR, share * (raw[k] - n) + PRIOR
+    ratio = np.log(seen / due)
+    ratio *= np.maximum(0, 1 - ERRORS**2 * (1 / seen + share / due) / np.maximum(ratio**2, 1e-12))
+    return float(min(0.0, (ratio * n).sum()))
 
 
 def weighted(docs: DataFrame, labels: DataFrame, targets: int = TARGETS) -> DataFrame:

@@ -386,6 +386,16 @@ def test_resampling_leaves_out_what_the_target_lacks(spark, none):
     assert len(exact) == 100 and resample.resample(none.select("doc_id", "text"), lab).isEmpty()
 
 
+def test_resampling_weighs_a_single_rare_word(spark):
+    """A word that stands once in each bad document, and never in the targets, tells against it."""
+    r = random.Random(14)
+    rows = [(i, words(60, r) + (" zzqqxwordy" if i % 6 == 0 else "")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(900) if i % 6 < 3], "doc_id long, quality int, toxic int")
+    w = {x.doc_id: x.log_weight for x in resample.weighted(df, lab).collect()}
+    assert np.mean([w[i] < -1 for i in w if i % 6 == 0]) > 0.9 and np.mean([w[i] > -1 for i in w if i % 6]) > 0.9
+
+
 def test_kth_largest_key(spark):
     r = random.Random(11)
     keys = [r.choice([r.gauss(0, 1), 0.5]) for _ in range(500)]
