@@ -26,6 +26,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 #: A run of these, this long, is a candidate if it has a digit or changes case at least twice.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
+#: A part of a candidate between separators that is long enough to be a key.
+PART = re.compile(r"[A-Za-z0-9]{16,}")
+
 #: Characters of context before and after a candidate, and of the candidate itself, that the network sees.
 BEFORE, INSIDE, AFTER = 24, 40, 8
 LENGTH = BEFORE + INSIDE + AFTER
@@ -41,6 +44,22 @@ def _encode(text: str, start: int, end: int) -> list[int]:
     return [0] * (BEFORE - len(before)) + before + inside + [0] * (INSIDE - len(inside)) + after + [0] * (AFTER - len(after))
 
 
+def _varied(s: str) -> bool:
+    """Whether s has a digit, or letters only that change case at least twice."""
+    if s.isalpha():
+        return sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:])) >= 2
+    return any(c.isdigit() for c in s)
+
+
+def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What the network sees of a candidate: its beginning, overlapping windows up to its end, and its parts between separators."""
+    out = [(start, end)]
+    if end - start > INSIDE:
+        out += [(a, a + INSIDE) for a in range(start + INSIDE // 2, end - INSIDE, INSIDE // 2)] + [(end - INSIDE, end)]
+    parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
+    return out + [(a, b) for a, b in parts if (a, b) != (start, end) and _varied(text[a:b])]
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, maxima over context and candidate, one hidden layer, calibrated output."""
@@ -173,6 +192,27 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def labelled_in_paths(n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """n labelled windows (text, start, end, secret 0/1) of long paths, half of them on a key at the path's end."""
+    r = random.Random(seed)
+    syllables = ["the", "ing", "tion", "er", "an", "re", "on", "en", "at", "ti", "pro", "ject", "web", "hook", "ver", "cus", "ment", "ly", "st", "ed", "or"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    out = []
+    for k in range(n):
+        secret = k % 2
+        path = "com/" + "/".join(r.choice(["", "v1/", "v2/"]) + r.choice("-_").join(word() for _ in range(r.randint(1, 3))) for _ in range(r.randint(3, 8)))
+        tail = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 48))) if secret else r.choice([word(), word() + "2024", word() + "-v2", "20240517"])
+        left = f"{word()} example."
+        text = f"{left}{path}/{tail} {word()} {word()}"
+        end = len(left) + len(path) + 1 + len(tail)
+        if secret:
+            start = r.choice([end - len(tail), end - INSIDE])
+        else:
+            start, end = r.choice(windows(text, len(left), end))
+        out.append((text, start, end, secret))
+    return out
+
+
 def encoded(rows: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([_encode(t, a, b) for t, a, b, _ in rows], np.int16).reshape(-1, LENGTH), np.array([y for *_, y in rows], np.float32)
 
@@ -181,8 +221,8 @@ def encoded(rows: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarr
 def trained(seed: int = 11) -> Network:
     """The network, trained and calibrated on separate labelled findings; the same for the same seed."""
     net = Network.new(seed)
-    net.train(*encoded(labelled(TRAINING, seed)), EPOCHS, seed)
-    net.calibrate(*encoded(labelled(CALIBRATION, seed + 1)), RECALL)
+    net.train(*encoded(labelled(TRAINING, seed) + labelled_in_paths(TRAINING // 2, seed + 2)), EPOCHS, seed)
+    net.calibrate(*encoded(labelled(CALIBRATION, seed + 1) + labelled_in_paths(CALIBRATION // 2, seed + 3)), RECALL)
     return net
 
 
@@ -201,14 +241,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if s.isalpha():
-            turns = sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:]))
-            if turns < 2:
-                continue
-        elif not any(c.isdigit() for c in s):
-            continue
-        out.append(m.span())
+        if _varied(m.group()):
+            out.append(m.span())
     return out
 
 
@@ -219,8 +253,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_cnn of each row of docs, whole texts.
 
-    The base patterns' findings always stand. The network scores every candidate; it
-    adds those at or over its threshold that no base finding overlaps, as kind cnn.
+    The base patterns' findings always stand. The network scores every candidate
+    by the highest of its windows; it adds those at or over its threshold that no base finding overlaps, as kind cnn.
     Places are code points, ends exclusive. A null or empty text has no findings
     (base_sha256 is that of the empty string). Rows are scanned one by one: repeated
     rows and null doc_ids come back as they are; other columns are left out; no rows
@@ -233,14 +267,17 @@ def scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, places, windows = [], [], []
+            base, places, seen = [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 base.append(base_spans(text))
                 for s, e in candidates(text):
-                    windows.append(_encode(text, s, e))
-                    places.append((i, s, e))
+                    parts = windows(text, s, e)
+                    places.append((i, s, e, len(seen)))
+                    seen += [_encode(text, *x) for x in parts]
             more: list[list[tuple[int, int, int]]] = [[] for _ in base]
-            for (i, s, e), p in zip(places, net.probability(np.array(windows, np.int16).reshape(-1, LENGTH))):
+            score = net.probability(np.array(seen, np.int16).reshape(-1, LENGTH))
+            best = np.maximum.reduceat(score, [x[3] for x in places]) if places else []
+            for (i, s, e, _), p in zip(places, best):
                 if p >= net.threshold and not any(s < end and start < e for start, _, end in base[i]):
                     more[i].append((s, 3, e))
             count = lambda k: pa.array([sum(x[1] == k for x in y) for y in base], pa.int64())

@@ -367,6 +367,15 @@ def test_network_on_held_out_findings():
     assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.03
 
 
+def test_keys_at_the_end_of_long_paths(spark):
+    r = random.Random(15)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(24, 40)))
+    path = "see example.com/api/v1/projects/customer-portal/webhooks/"
+    texts = [path + key() + " for it" for _ in range(100)] + [f"{path}{a}/{b}/settings/2024 for it" for a in ("orders", "invoices", "members") for b in ("north-region", "delivery", "archive")]
+    n = [x.n_cnn for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert sum(n[:100]) >= 95 and sum(n[100:]) == 0
+
+
 def test_resampling_leaves_out_what_the_target_lacks(spark, none):
     r = random.Random(10)
     rows, labels = [], []
