@@ -133,7 +133,7 @@ class Network:
                     self.p[k] -= (0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold from 0.5 to 0.9 that keeps `recall` of the labelled secrets."""
+        """Platt scaling by Newton steps, then the highest threshold up to 0.9 that keeps `recall` of the labelled secrets."""
         s, a, b = self.raw(x).astype(np.float64), 1.0, 0.0
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
@@ -143,7 +143,7 @@ class Network:
             a, b = a - np.clip(step[0], -0.5, 0.5), b - np.clip(step[1], -0.5, 0.5)
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
         own = np.sort(self.probability(x[y == 1]))
-        self.threshold = float(np.clip(own[int((1 - recall) * len(own))], 0.5, 0.9)) if len(own) else 0.5
+        self.threshold = float(min(own[int((1 - recall) * len(own))], 0.9)) if len(own) else 0.5
 
 
 def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:

@@ -367,6 +367,16 @@ def test_network_on_held_out_findings():
     assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.03
 
 
+def test_calibration_keeps_recall_below_one_half():
+    r = np.random.default_rng(16)
+    y = np.repeat([0.0, 1.0], 1000)
+    x = (r.standard_normal(2000) + y).reshape(-1, 1)
+    net = secrets.Network.new(1)
+    net.raw = lambda x: x[:, 0]
+    net.calibrate(x, y, 0.97)
+    assert (net.probability(x[y == 1]) >= net.threshold).mean() >= 0.97
+
+
 def test_keys_at_the_end_of_long_paths(spark):
     r = random.Random(15)
     key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(24, 40)))
