@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, text_or_empty, written
 
-#: Characters of the pieces from which prefix hashes of long lines are made.
-PIECE = 256
+#: Blocks that a text is divided into, and characters up to which a block's variants are emitted.
+FAN, SHORT = 8, 64
 #: Rows up to which a table of line hashes (24 bytes each) is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,70 +37,97 @@ def _side(side: str, n: Column) -> Column:
     return F.xxhash64(F.lit(side), h, part)
 
 
-def _prefixes(text: str) -> tuple[Column, Column]:
-    """Pieces of the string column, and for each the hash of all pieces before it."""
-    s, n = F.col(text), F.length(text)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(n / PIECE).cast("int")), lambda j: s.substr(j * PIECE + 1, F.lit(PIECE)))
-    start = F.array(F.lit(7).cast("long"))
-    sums = F.aggregate(pieces, start, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
-    return pieces, sums
+def _blocks(role: Column, g: Column, at: Column, mid: Column, m: Column) -> list[Column]:
+    """(role, g, at, mid) for each of FAN blocks of a text: the block, and as new group the hash of all that stands before and behind it.
 
-
-def _prefix_hash(pieces: str, sums: str, i: Column) -> Column:
-    """Hash of the first i characters."""
-    j = F.floor(i / PIECE).cast("int")
-    return F.xxhash64(F.get(F.col(sums), j), F.get(F.col(pieces), j).substr(F.lit(1), i - j * PIECE))
+    Blocks are cut by the length m of the shorter text; the block of a longer one (role 2) has one more character.
+    """
+    cut = lambda k: F.floor(m * k / FAN).cast("int")
+    more = F.when(role == 2, 1).otherwise(0)
+    out = []
+    for k in range(FAN):
+        a, b = cut(k), cut(k + 1) + more
+        key = F.xxhash64(g, F.lit(k), mid.substr(F.lit(1), a), mid.substr(b + 1, F.lit(2**30)))
+        out.append(F.struct(role.alias("role"), key.alias("g"), (at + a).alias("at"), mid.substr(a + 1, b - a).alias("mid")))
+    return out
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows whose group holds two texts that may be one edit apart: two of equal length (role 0), or a shorter (1) and a longer one (2)."""
+    keys = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("low"), F.max("role").alias("high"))
+    alive, _ = written(keys.where("n > 1 and (low < high or low = 0)").select("g"), "groups")
+    return _semi(rows, alive, "g")
+
+
+def _narrowed(lines: DataFrame) -> DataFrame:
+    """(h, first, role, g, at, mid): what is left of lines that agree, in their group g, on all characters outside mid.
+
+    One edit lies within one block (of the shorter line), so lines within one edit
+    agree on all but that block; long blocks are divided again and again, and
+    only blocks whose surroundings occur twice go on. All steps together cost a few
+    passes over a line, whatever its length.
+    """
+    n = F.length("norm")
+    starts = [(0, "s", n), (1, "i", n), (2, "i", n - 1)]
+    whole = lines.select("h", "first", "norm", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.xxhash64(F.lit(t), m).alias("g"), m.alias("m")) for r, t, m in starts])))
+    whole = whole.select("h", "first", "role", "g", F.lit(0).alias("at"), F.col("norm").alias("mid"), "m")
+    done, rest = [_met(whole.where(F.col("m") <= SHORT).drop("m"))], whole.where(F.col("m") > SHORT)
+    while True:
+        cols = [F.col(c) for c in ("role", "g", "at", "mid", "m")]
+        cut = rest.select("h", "first", F.inline(F.array(*_blocks(*cols))))
+        part, _ = written(_met(cut).withColumn("m", F.length("mid") - F.when(F.col("role") == 2, 1).otherwise(0)), "blocks")
+        done.append(part.where(F.col("m") <= SHORT).drop("m"))
+        rest = part.where(F.col("m") > SHORT)
+        if rest.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _variants(parts: DataFrame) -> DataFrame:
+    """(h, first, role, at, k1, k2): a row for each character that may be deleted, with two hashes of what then stands on either side.
+
+    Equal lines delete the character that is substituted, a longer one the one put in; a shorter one gives itself, divided at each place.
+    """
+    role, mid = F.col("role"), F.col("mid")
+    skip = F.when(role == 1, 0).otherwise(1)
+    last = F.length(mid) - skip
+    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    sides = lambda i: (i, mid.substr(F.lit(1), i), mid.substr(i + skip + 1, F.lit(2**30)))
+    each = F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64("g", *sides(i)).alias("k1"), F.xxhash64(*sides(i), "g").alias("k2")))
+    return parts.select("h", "first", "role", "at", F.inline(each)).select("h", "first", "role", (F.col("at") + F.col("i")).alias("at"), "k1", "k2")
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
     """For each distinct line (h, first, norm) the earliest first of another line within one edit, if that is earlier: (h, near).
 
-    A line of n characters emits for each position i the hashes of what stands
-    before and after a character deleted there. Lines of equal length that agree
-    differ by a substitution at i; the shorter of two lines meets the longer one's
-    variant with the hashes of its own two parts at i. So each bucket holds only
-    lines within one edit of each other (of the shorter line), its earliest member
-    is found by a minimum, and no pairs are made. Only lines that share a half of
-    their text with a line of fitting length emit variants, and only for the other
-    half: one edit leaves the first or the last n/2 characters as they are.
+    Lines emit a variant for each character that may be deleted, keyed by hashes of
+    the texts before and after it and its place. Lines of equal length that agree
+    differ by a substitution there; the shorter of two lines meets the longer one's
+    variant with its own two parts. So each bucket holds only lines within one edit
+    of each other (of the shorter line), its earliest member is found by a minimum,
+    and no pairs are made. Variants are emitted only for the block of a line outside
+    of which it agrees with another one (see _narrowed).
     """
-    n = F.length("norm")
-    typed = []
-    for side in "ps":
-        typed.append(F.struct(F.lit(f"s{side}").alias("kind"), F.xxhash64(F.lit("s"), n, _side(side, n)).alias("k"), F.lit(0).alias("role")))
-        typed.append(F.struct(F.lit(f"i{side}").alias("kind"), F.xxhash64(F.lit("i"), n, _side(side, n)).alias("k"), F.lit(1).alias("role")))
-        typed.append(F.struct(F.lit(f"j{side}").alias("kind"), F.xxhash64(F.lit("i"), n - 1, _side(side, n - 1)).alias("k"), F.lit(2).alias("role")))
-    keyed = lines.select("h", F.inline(F.array(*typed)).alias("kind", "k", "role"))
-    alive = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("low"), F.max("role").alias("high")).where("n > 1 and (low < high or low = 0)")
-    flags = keyed.join(alive, "k", "left_semi").groupBy("h").agg(F.collect_set("kind").alias("kinds"))
-    some = lines.join(flags, "h").withColumn("back", F.reverse("norm"))
-    fp, fs = _prefixes("norm")
-    bp, bs = _prefixes("back")
-    some = some.select("h", "first", "kinds", F.length("norm").alias("n"), fp.alias("fp"), fs.alias("fs"), bp.alias("bp"), bs.alias("bs"))
-    n, half = F.col("n"), F.floor(F.col("n") / 2).cast("int")
-
-    def rows(kind: str, tag: str, role: int, after: int, lo: Column, hi: Column) -> Column:
-        """One (k, role) for each i in [lo, hi]: hash of the i characters before, and of those from i + after on."""
-        at = F.when(F.array_contains("kinds", kind) & (lo <= hi), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
-        shorter = n if role == 1 else n - 1
-        key = lambda i: F.xxhash64(F.lit(tag), shorter, i, _prefix_hash("fp", "fs", i), _prefix_hash("bp", "bs", n - i - after))
-        return F.transform(at, lambda i: F.struct(key(i).alias("k"), F.lit(role).alias("role")))
-
-    zero, short = F.lit(0), F.floor((n - 1) / 2).cast("int")
-    every = F.concat(
-        rows("sp", "s", 0, 1, half, n - 1), rows("ss", "s", 0, 1, zero, half - 1),
-        rows("ip", "i", 1, 0, half, n), rows("is", "i", 1, 0, zero, half - 1),
-        rows("jp", "i", 2, 1, short, n - 1), rows("js", "i", 2, 1, zero, short - 1),
-    )
-    variants = some.select("h", "first", F.inline(every).alias("k", "role"))
-    mine = F.struct("first", "h")
-    best = variants.groupBy("k").agg(*[F.min(F.when(F.col("role") == r, mine)).alias(f"m{r}") for r in range(3)], F.count(F.lit(1)).alias("c")).where("c > 1 and (m0 is not null or m1 is not null and m2 is not null)").drop("c")
-    met = variants.join(best, "k").select("h", "first", F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1")).alias("w"))
-    found = met.where(F.col("w.first") < F.col("first")).groupBy("h").agg(F.min("w").alias("w"))
-    texts = lines.join(flags, "h", "left_semi").select("h", "norm")
-    pairs = found.join(texts, "h").select("h", F.col("w.first").alias("near"), F.col("w.h").alias("g"), "norm")
+    variants, _ = written(_variants(_narrowed(lines)), "variants")
+    mine = F.struct("first", "h", "at")
+    best = variants.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("role") == r, mine)).alias(f"m{r}") for r in range(3)], F.count(F.lit(1)).alias("c"))
+    best, _ = written(best.where("c > 1 and (m0 is not null or m1 is not null and m2 is not null)").drop("c"), "variants")
+    few = best.count() <= BROADCAST_ROWS
+    role = F.col("role")
+    met = variants.join(F.broadcast(best) if few else best, ["k1", "k2"]).select("h", "first", "role", F.when(role == 0, F.col("m0")).when(role == 1, F.col("m2")).otherwise(F.col("m1")).alias("w"))
+    found, _ = written(met.where(F.col("w.first") < F.col("first")).groupBy("h").agg(F.min(F.struct(F.col("w.first").alias("first"), F.col("w.h").alias("h"), F.col("w.at").alias("at"), "role")).alias("w")), "neighbours")
+    wanted, _ = written(found.select("h").unionAll(found.select(F.col("w.h").alias("h"))).distinct(), "neighbours")
+    texts = _semi(lines.select("h", "norm"), wanted, "h")
+    pairs = found.join(texts, "h").select("h", F.col("w.first").alias("near"), F.col("w.h").alias("g"), F.col("w.at").alias("at"), F.col("w.role").alias("role"), "norm")
     pairs = pairs.join(texts.toDF("g", "other"), "g")
-    return pairs.where(F.levenshtein("norm", "other", 1) >= 0).select("h", "near")
+    # an edit distance of one at `at`: what stands before and behind the edit is the same text
+    behind = lambda x, skipped: F.col(x).substr(F.col("at") + 1 + skipped, F.lit(2**30))
+    role = F.col("role")
+    same = (F.substring("norm", F.lit(1), F.col("at")) == F.substring("other", F.lit(1), F.col("at"))) & (behind("norm", F.when(role == 1, 0).otherwise(1)) == behind("other", F.when(role == 2, 0).otherwise(1)))
+    return pairs.where(same).select("h", "near")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -114,11 +141,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     firsts, _ = written(distinct.where("copies > 1").select("h", "first"), "repeated")
     # lines that share the first or last half with another, before their texts are fetched
     keyed = lines.select("h", F.explode("halves").alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k")
-    few, _ = written(keyed.join(shared, "k", "left_semi").select("h").distinct(), "candidates")
+    shared, _ = written(keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k"), "halves")
+    few, _ = written(_semi(keyed, shared, "k").select("h").distinct(), "candidates")
     some, _ = written(_semi(texts, few, "h").groupBy("h").agg(F.min(place).alias("first"), F.first("norm").alias("norm")), "candidates")
     near, _ = written(neighbours(some), "neighbours")
-    until = firsts.unionAll(near.toDF("h", "first")).groupBy("h").agg(F.min("first").alias("stays"))
+    # written, so that both sides of the join come straight from an exchange and a very frequent line can be split
+    until, _ = written(firsts.unionAll(near.toDF("h", "first")).groupBy("h").agg(F.min("first").alias("stays")), "stays")
     late = lines.select("doc", "mark", "no", "h").join(until, "h").where(place > F.col("stays"))
     return late.groupBy("doc", "mark").agg(F.collect_set("no").alias("nos"))
 
@@ -132,7 +160,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at their ends and judged on the input, so what is removed counts as well. Lines
     without a word always stay and are not counted. A null text is empty; null
     doc_ids come first; rows with the same doc_id are one place, so repeated rows
-    do not remove each other. No document is dropped, even if no line is left.
+    do not remove each other. No document is dropped, even if no line is left, and
+    no rows give none. Lines may be of any length: each is passed over a few times,
+    and its variants are emitted for one short block only. Other columns come back
+    as they are; a column of docs called as one that is added stays beside it.
     """
     names = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"__in_{i}" for i, c in enumerate(names)])

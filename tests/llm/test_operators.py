@@ -105,6 +105,26 @@ def test_line_edits_of_every_kind(spark):
     assert gone == {j for j in range(len(texts)) for i in range(j) if texts[i] == texts[j] or one_edit(texts[i], texts[j])}
 
 
+def test_lines_of_any_length_and_random_edits(spark):
+    """Against brute force over lines of every length about the bounds of blocks, edited once or twice; very long ones take seconds."""
+    r = random.Random(21)
+    texts = []
+    for n in (1, 2, 3, line_dedup.SHORT - 1, line_dedup.SHORT, line_dedup.SHORT + 1, line_dedup.SHORT + 2, 127, 128, 300, 700, 5000):
+        base = ["ab é"[r.randint(0, 1 if n < 100 else 3)] for _ in range(n)]
+        base[0] = base[-1] = "x"
+        for _ in range(6):
+            t = base[:]
+            for _ in range(r.randint(0, 2)):
+                k = r.randint(0, len(t) - 1)
+                t[k : k + r.randint(0, 1)] = r.choice([[], ["q"], ["b"]])
+            texts.append("".join(t).strip())
+    long = "".join(r.choice("abcdef gh") for _ in range(200_000)).strip()
+    texts += [long, long[:70_000] + "Q" + long[70_001:], long[:150_000] + long[150_001:], long[:10] + "QQ" + long[12:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {x.doc_id for x in line_dedup.dedup_lines(df).where("n_removed > 0").collect()}
+    assert gone == {j for j in range(len(texts)) if texts[j] and any(texts[i] and (texts[i] == texts[j] or one_edit(texts[i], texts[j])) for i in range(j))}
+
+
 def test_simhash_components(docs, none):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.near_components(docs).collect())
     fp = [(i, simhash.fingerprint(t.encode(), 4)) for i, t in pairs()]
