@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, prepare, text_or_empty, written
-from .induced import Sorter
+from .induced import MANY, MEMORY, Sorter, Tape, sorted_rows, stored
 
 #: Bytes of the grams of which each window chooses one; a shorter gram makes fewer contexts but more chance matches.
 GRAM = 32
 #: Bytes of a long text whose windows are chosen at once, and of contexts after which a shard is sorted.
-STRIDE, SHARD = 1 << 20, 1 << 20
-#: Rows of copies (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+STRIDE, SHARD = 1 << 20, 8 << 20
+#: Bytes of one gram's contexts that are compared in memory before they are sorted; beyond, they go to the shard as they come.
+HELD = 16 << 20
+#: Rows of copies (80 bytes each) up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 _P, _C = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a gram's place in its key: of equal grams the leftmost is chosen, but where the place wraps around.
 _BITS = 12
@@ -142,100 +144,152 @@ def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
             yield _batch(out)
 
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "hash", "rank", "doc", "lo", "hi", "context", "gram"])
-
-
-def repeated_windows(contexts: list[tuple[bytes, tuple[int, int, int]]], span: int) -> Iterator[tuple[int, int, int]]:
-    """(rank, doc, start) of each window in contexts (bytes and place) that is equal to one at an earlier place in them.
+_NAMES = ["kind", "hash", "rank", "doc", "lo", "hi", "context", "gram"]
 
-    The contexts stand one behind the other as a text, sorted by external induced
-    sorting; suffixes that share `span` symbols or more are equal windows.
-    """
-    size = sum(len(c) + 1 for c, _ in contexts)
-    text, left, owner, begin = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), []
-    at = 0
-    for k, (c, _) in enumerate(contexts):
-        text[at : at + len(c)] = np.frombuffer(c, np.uint8).astype(np.int64) + 2
-        left[at : at + len(c)] = np.arange(len(c), 0, -1)
-        owner[at : at + len(c) + 1] = k
-        begin.append(at)
-        text[at + len(c)] = 1
-        at += len(c) + 1
-    group: list[tuple[int, int, int]] = []
-    common = 0
-    for p, shared in Sorter(text, span).order():
-        common = min(common, shared)
-        if left[p] < span:
-            continue
-        k = int(owner[p])
-        rank, doc, lo = contexts[k][1]
-        place = (rank, doc, lo + p - begin[k])
-        if common < span and group:
-            yield from _later(group)
-            group = []
-        group.append(place)
-        common = span
-    yield from _later(group)
 
-
-def _later(group: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    if len(group) > 1:
-        first = min(group)
-        yield from (x for x in group if x != first)
+def _batch(cols: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], _NAMES)
+
+
+class Shard:
+    """Contexts one behind the other as a text of symbols (a byte's value and 2; 1 behind each, 0 at the end), with their places; on disk beyond `memory`."""
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory, self.size = memory, 0
+        self.text, self.places = Tape(1, memory // 8), Tape(4, memory // 4)
+        self.parts: list[bytes] = []
+        self.rows: list[tuple[int, int, int, int]] = []
+
+    def add(self, context: bytes, rank: int, doc: int, lo: int) -> None:
+        self.parts.append(context)
+        self.rows.append((self.size, rank, doc, lo))
+        self.size += len(context) + 1
+        if len(self.parts) >= 4096:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.parts:
+            size = sum(map(len, self.parts)) + len(self.parts)
+            symbols = np.zeros(-(-size // 4) * 4, np.uint16)
+            at = 0
+            for x in self.parts:
+                symbols[at : at + len(x)] = np.frombuffer(x, np.uint8)
+                symbols[at : at + len(x)] += np.uint16(2)
+                symbols[at + len(x)] = 1
+                at += len(x) + 1
+            # four symbols a number; zeros that fill the last one are left out when the text is put together
+            self.text.append(np.append(np.array([size]), symbols.view(np.int64)).reshape(-1, 1))
+            self.places.append(np.array(self.rows, np.int64))
+            self.parts, self.rows = [], []
+
+    def _joined(self) -> tuple[np.ndarray, ...]:
+        self._settle()
+        text, at = stored(self.size + 1, np.uint16, 4 * self.memory), 0
+        rest = np.zeros(0, np.int64)
+        for x in self.text.forward():
+            rest = np.append(rest, x[:, 0])
+            while len(rest) and len(rest) > -(-int(rest[0]) // 4):
+                n = int(rest[0])
+                text[at : at + n] = rest[1 : 1 - (-n // 4)].view(np.uint16)[:n]
+                at, rest = at + n, rest[1 - (-n // 4) :]
+        columns = [stored(len(self.places), np.int64, self.memory) for _ in range(4)]
+        at = 0
+        for x in self.places.forward():
+            for k in range(4):
+                columns[k][at : at + len(x)] = x[:, k]
+            at += len(x)
+        return text, *columns
+
+    def repeated(self, span: int) -> Iterator[np.ndarray]:
+        """(rank, doc, lo, hi): windows of `span` bytes that begin at lo..hi and are equal to one at an earlier place in the shard.
+
+        Suffixes that follow one another and share `span` symbols or more begin with equal windows.
+        """
+        text, begin, rank, doc, lo = self._joined()
+        later = Tape(3, self.memory)
+        run, open_run, least = 0, -1, None
+        blocks = Sorter(text, span, self.memory).order()
+        now = next(blocks)
+        while now is not None:
+            follow = next(blocks, None)
+            p, common = now
+            joined = common >= span
+            runs = run + np.cumsum(~joined)
+            own = np.flatnonzero(joined | np.append(joined[1:], follow is not None and follow[1][0] >= span))
+            run, now = int(runs[-1]), follow
+            if not len(own):
+                continue
+            k = np.searchsorted(begin, p[own], "right") - 1
+            end = np.append(begin[1:], self.size)[k] if len(begin) <= self.memory else np.where(k + 1 < len(begin), begin[np.minimum(k + 1, len(begin) - 1)], self.size)
+            fits = (k >= 0) & (p[own] + span < end)
+            own, k = own[fits], k[fits]
+            rows = np.stack([runs[own], rank[k], doc[k], lo[k] + p[own] - begin[k]], axis=1)
+            if least is not None and len(rows) and rows[0, 0] == open_run:
+                rows = np.concatenate([least, rows])
+            rows = rows[np.lexsort(rows.T[::-1])]
+            if not len(rows):
+                continue
+            new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+            later.append(rows[(rows != first).any(axis=1), 1:])
+            open_run, least = int(rows[-1, 0]), first[-1:]
+        before = None
+        for rows in sorted_rows(later.forward(), 3, self.memory):
+            for i in range(0, len(rows), MANY):
+                x = rows[i : i + MANY]
+                new = np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1) | (x[1:, 2] > x[:-1, 2] + 1))
+                at = np.flatnonzero(new)
+                if len(x):
+                    yield np.column_stack([x[at], x[np.append(at[1:], len(x)) - 1, 2]])
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Windows (kind 1) that repeat an earlier one, from contexts sorted by hash: a shard ends with a hash when it is large enough."""
-    shard: list[tuple[bytes, tuple[int, int, int]]] = []
-    size, now = 0, None
+    shard, now, held = Shard(), None, 0
     own: dict[bytes, tuple[int, int, int]] = {}
     grams: dict[bytes, int] = {}
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(8)]
-        for rank, doc, start in repeated_windows(shard, span):
-            for c, v in zip(out, (1, 0, rank, doc, start, start, None, 0)):
-                c.append(v)
-            if len(out[0]) >= 1 << 15:
-                yield _batch(out)
-                out = [[] for _ in range(8)]
-        if out[0]:
-            yield _batch(out)
+        for x in shard.repeated(span):
+            zero = np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), *(pa.array(v) for v in (zero, x[:, 0], x[:, 1], x[:, 2], x[:, 3])), pa.nulls(len(x), pa.binary()), pa.array(zero)], _NAMES)
 
-    def take() -> None:
+    def take(all_of_them: bool) -> None:
         """The hash's contexts that may hold equal windows join the shard."""
-        nonlocal size
-        for c in _sharing(grams, span):
-            shard.append((c, own[c]))
-            size += len(c)
+        for c in own if all_of_them else _sharing(grams, span):
+            shard.add(c, *own[c])
         own.clear()
         grams.clear()
 
+    many = False  # the hash has more contexts than are held
     for b in batches:
         out: list[list] = [[] for _ in range(8)]
         for h, rank, doc, lo, hi, context, gram in zip(*(b.column(i).to_pylist() for i in range(1, 8))):
             if h != now:
-                take()
-                now = h
-                if size >= SHARD:
+                take(many)
+                now, held, many = h, 0, False
+                if shard.size >= SHARD:
                     yield from flushed()
-                    shard.clear()
-                    size = 0
+                    shard = Shard()
             place = (rank, doc, lo)
             old = own.get(context)
             if old is None or place < old:
                 own[context] = place
-            grams.setdefault(context, gram)
-            late = max(place, old) if old is not None and place != old else None
-            if late:
+            if old is None:
+                grams[context] = gram
+                held += len(context)
+            elif place != old:
+                late = max(place, old)
                 for c, v in zip(out, (1, h, late[0], late[1], late[2], late[2] + hi - lo, None, 0)):
                     c.append(v)
+            if held > HELD:
+                many, held = True, 0
+                take(True)
         if out[0]:
             yield _batch(out)
-    take()
-    if shard:
+    take(many)
+    if shard.size:
         yield from flushed()
 
 
@@ -304,18 +358,27 @@ def without_repeats(docs: DataFrame, span: int = 100, texts: bool = False) -> Da
     texts of the same doc_id go by a hash of the text. Other columns are left out;
     no rows give none.
 
-    A copy of an earlier text goes whole and takes no further part. Of the others,
-    each window chooses one of its grams; only windows whose gram's hash occurs
-    elsewhere too (equal windows always meet so) are brought together, each content
-    once, and suffix-sorted shard by shard.
+    A copy of an earlier text (equal by SHA-256) goes whole and takes no further
+    part. Of the others, each window chooses one of its grams; only windows whose
+    gram's hash occurs elsewhere too (equal windows always meet so) are brought
+    together, each content once, and suffix-sorted shard by shard; a shard may be
+    far larger than memory (see Sorter). Very long texts are walked through in
+    strides. `span` must be over GRAM and under 128.
     """
+    if not GRAM < span < 128:
+        raise ValueError(f"span must be over {GRAM} and under 128")
     spark = docs.sparkSession
     prepare(spark)
-    base = only(docs, ["doc_id", "text"]).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(text_or_empty()).alias("doc"), text_or_empty().cast("binary").alias("text"))
-    firsts = base.groupBy("doc").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    copied, _ = written(firsts.where("n > 1").select("doc", "first"), "copied")
+    base = only(docs, ["doc_id", "text"]).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(text_or_empty()).alias("doc"), F.sha2(text_or_empty().cast("binary"), 256).alias("sha"), text_or_empty().cast("binary").alias("text"))
+    firsts, _ = written(base.groupBy("sha").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), F.first("doc").alias("doc")), "texts")
+    copied = firsts.where("n > 1").select("sha", "first")
     few = copied.count() <= BROADCAST_ROWS
-    marked = base.join(F.broadcast(copied) if few else copied, "doc", "left")
+    marked = base.join(F.broadcast(copied) if few else copied, "sha", "left")
+    # different texts of equal 64-bit hash take another one
+    clash = firsts.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("clash"))
+    clashes = clash.count()
+    if clashes:
+        marked = marked.join(F.broadcast(clash) if clashes <= BROADCAST_ROWS else clash, "doc", "left").withColumn("doc", F.when(F.col("clash"), F.xxhash64(F.lit("again"), "sha")).otherwise(F.col("doc")))
     own = marked.where("first is null or rank = first").select("doc", "rank", "text")
     h, place = F.col("hash"), F.col("place")
     dealt = _anchors(own.select("doc", "text"), span).repartition(F.when(place.bitwiseAND(F.lit(3)) == 1, F.xxhash64("doc", "place")).otherwise(h))
@@ -330,7 +393,7 @@ def without_repeats(docs: DataFrame, span: int = 100, texts: bool = False) -> Da
     touched = own.join(by_doc.hint("shuffle_hash"), "doc").select("doc", "rank", "text", "windows")
     result = touched.mapInArrow(lambda b: _applied(b, span), "doc long, rank long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     done, _ = written(result.select("doc", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts).dropDuplicates(["doc"]), "kept")
-    rows = marked.select("doc_id", "doc", (F.col("rank") > F.col("first")).alias("late"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *["text"] * texts)
+    rows = marked.select("doc_id", "doc", (F.col("rank") > F.col("first")).alias("late"), F.octet_length("text").cast("long").alias("n_bytes"), "sha", *["text"] * texts)
     rows = rows.join(done, "doc", "left")
     whole = F.coalesce("late", F.lit(False)) & (F.col("n_bytes") >= span)
     kept = [F.when(whole, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "text")).alias("kept")] if texts else []

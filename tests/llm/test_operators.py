@@ -328,25 +328,76 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.without_repeats(none).isEmpty()
 
 
-def test_induced_sorting():
+def test_induced_sorting(monkeypatch):
+    """Every suffix and common prefix against plain sorting, with buckets, blocks and memory so small that all of it goes to disk."""
     r = random.Random(6)
-    for trial in range(250):
-        x = [r.randint(1, r.choice([1, 2, 4, 26])) for _ in range(r.randint(0, 50))]
+    for trial in range(500):
+        x = [r.randint(1, r.choice([1, 2, 4, 26])) for _ in range(r.randint(0, 60))]
         if trial % 4 == 0:
             x = (x[:3] * 20)[:50]
         t = np.array([*x, 0])
         cap = r.choice([3, 100])
-        got = list(induced.Sorter(t, cap, r.choice([4, 1 << 18])).order())
+        for name, sizes in (("BUCKET", (1, 3, 8192)), ("FEW", (2, 8, 2048)), ("MANY", (3, 16, 65536))):
+            monkeypatch.setattr(induced, name, r.choice(sizes))
+        got = [x for p, c in induced.Sorter(t, cap, r.choice([4, 20, 1 << 18])).order() for x in zip(p.tolist(), c.tolist())]
         order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
         shared = [0] + [next((n for n in range(cap) if max(a, b) + n >= len(t) or t[a + n] != t[b + n]), cap) for a, b in zip(order, order[1:])]
         assert got == list(zip(order, shared))
 
 
 def test_disk_queue_keeps_order():
-    q = induced.BucketQueue(memory=10)
-    for i in range(3 * induced.BLOCK):
-        q.push(i % 2, i)
-    assert list(q.drain(0)) == list(range(0, 3 * induced.BLOCK, 2)) and q.symbols() == {1} and list(q.drain(1)) == list(range(1, 3 * induced.BLOCK, 2))
+    q = induced.BucketQueue(2, memory=10)
+    for i in range(0, 90, 3):
+        q.push(i % 2, np.array([[i, 0], [i + 1, 0], [i + 2, 0]]))
+    q.push(0, np.array([[100, 0]]))
+    got = []
+    while q.more(0):
+        got += q.block(0)[:, 0].tolist()
+    assert got == [j for i in range(0, 90, 6) for j in (i, i + 1, i + 2)] + [100] and q.more(1)
+    assert q.whole(1)[:, 0].tolist() == [j for i in range(3, 90, 6) for j in (i, i + 1, i + 2)] and not q.more(1)
+
+
+def _repeated(contexts, span):
+    first, out = {}, set()
+    for c, rank, doc, lo in contexts:
+        for i in range(len(c) - span + 1):
+            w, place = c[i : i + span], (rank, doc, lo + i)
+            out |= {max(place, first[w])} if w in first and first[w] != place else set()
+            first[w] = min(place, first.get(w, place))
+    for c, rank, doc, lo in contexts:  # places that were first for a while
+        out |= {(rank, doc, lo + i) for i in range(len(c) - span + 1) if first[c[i : i + span]] != (rank, doc, lo + i)}
+    return out
+
+
+def test_shard_ten_times_its_memory(monkeypatch):
+    """A shard of 60,000 symbols with room for 6,000 entries gives the windows that brute force finds, and so does one gram's overflow."""
+    r = random.Random(18)
+    base = [bytes(r.choices(b"abcd ", k=160)) for _ in range(60)]
+    contexts = []
+    for k in range(400):
+        c = bytearray(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            c[r.randrange(160)] = r.choice(b"abcd ")
+        contexts.append((bytes(c[r.randint(0, 20) :]), r.randint(0, 200), k, r.randint(0, 9)))
+    want = _repeated(contexts, 50)
+    monkeypatch.setattr(induced, "MANY", 1000)
+    shard = suffix_dedup.Shard(memory=6000)
+    for x in contexts:
+        shard.add(*x)
+    assert shard.size > 10 * 5500 and shard.memory == 6000
+    got = {(a, d, i) for x in shard.repeated(50) for a, d, lo, hi in x.tolist() for i in range(lo, hi + 1)}
+    assert got == want and len(want) > 1000
+    monkeypatch.setattr(suffix_dedup, "HELD", 2000)
+    rows = [[0] * len(contexts), [5] * len(contexts), *map(list, zip(*[(k, d, lo, lo + len(c) - 50, c, 0) for c, k, d, lo in contexts]))]
+    out = suffix_dedup._sorted_shards(iter([suffix_dedup._batch(rows)]), 50)
+    got = {(a, d, i) for b in out for a, d, lo, hi in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))) for i in range(lo, hi + 1)}
+    assert got == want
+
+
+def test_suffix_dedup_refuses_spans_it_cannot_hold(docs):
+    for span in (32, 128, 200):
+        with pytest.raises(ValueError):
+            suffix_dedup.without_repeats(docs, span=span)
 
 
 def test_warc_round_trip(spark, tmp_path):
