@@ -10,9 +10,9 @@ import numpy as np
 #: Entries of a list or queue that stay in memory; the rest is on disk.
 MEMORY = 1 << 20
 #: Entries of a bucket of several symbols; a symbol with more has a bucket of its own.
-BUCKET = 1 << 13
+BUCKET = 1 << 15
 #: Entries that are induced from at once: from a bucket of several symbols, and of one.
-FEW, MANY = 1 << 11, 1 << 16
+FEW, MANY = 1 << 13, 1 << 16
 #: Bits for a common prefix beside a place.
 BITS = 7
 _LOW = (1 << BITS) - 1
@@ -260,8 +260,8 @@ class Sorter:
     numbers of names that agree; only the first names that differ are compared.
     Where L and S suffixes of a symbol meet, they share their shorter run of it.
 
-    Entries are taken as many at once as come before all that they induce. Text and
-    names may be mapped files; queues, lists and runs of sorts beyond `memory` entries
+    Entries are taken a block at a time, with all that they induce within the
+    block's range. Text and names may be mapped files; queues, lists and runs of sorts beyond `memory` entries
     are on disk; what else is held is a few blocks and the first symbols of buckets.
     """
 
@@ -414,30 +414,19 @@ class Sorter:
                 if open_ends:
                     bound, which = min(open_ends)
                     sources = [x[: np.searchsorted(x[:, 0], bound, "right" if k <= which else "left")] for k, x in enumerate(sources)]
-                full = [k for k in range(3) if len(sources[k])]
-                rows, source = sources[full[0]], None
-                if len(full) > 1:
-                    rows = np.concatenate([sources[k] for k in full])
-                    order = np.argsort(rows[:, 0], kind="stable")
-                    rows, source = rows[order], np.repeat(full, [len(sources[k]) for k in full])[order]
-                key = rows[:, 0]
-                symbol, kind, place, common = key >> 1, key & 1, rows[:, 1] >> BITS, rows[:, 1] & _LOW
-                child = symbols(np.maximum(place - 1, 0))
-                valid = (place > 0) & (child >= symbol + kind)
-                soonest = np.minimum.accumulate(np.where(valid, 2 * child, _NONE))
-                cut = soonest < key  # entries after one that they must wait for
-                n = int(cut.argmax()) if cut.any() else len(rows)
-                symbol, kind, place, common, child, valid = (x[:n] for x in (symbol, kind, place, common, child, valid))
+                for_now = [x for x in sources if len(x)]
+                rows = for_now[0] if len(for_now) == 1 else by_first(np.concatenate(for_now))
+                base, near = base[len(sources[0]) :], near[len(sources[1]) :]
+                seed.take(len(sources[2]))
+                limit = int(rows[-1, 0]) if any(follow) else 2 * int(ends[b])
+                rows, child, valid, home = _with_children(rows, symbols, limit)
+                symbol, kind, place, common = rows[:, 0] >> 1, rows[:, 0] & 1, rows[:, 1] >> BITS, rows[:, 1] & _LOW
                 meets = np.flatnonzero(kind & ~np.append(latest[2], kind[:-1]) & 1)  # seeds that come after an induced entry
                 if len(meets):
-                    common = common.copy()
                     s, p = np.append(latest[0], symbol[:-1])[meets], np.append(latest[1], place[:-1])[meets]
                     alike = s == symbol[meets]
                     common[meets] = 0
                     common[meets[alike]] = self._runs(p[alike], place[meets[alike]])
-                made = np.flatnonzero(kind == 0)
-                if len(made):
-                    out.append(np.stack([symbol[made], place[made] << BITS | common[made]], axis=1))
                 v = np.flatnonzero(valid)
                 if len(v):
                     v = v[np.argsort(child[v], kind="stable")]
@@ -447,23 +436,27 @@ class Sorter:
                     before[new] = last[c[new]] - 1
                     final = np.append(new[1:], True)
                     last[c[final]] = at[final] + 1
-                    shared = np.where(before >= 0, np.minimum(cap, 1 + least.since(before, at, common)), 0)
-                    pushed = np.stack([2 * c, (place[v] - 1) << BITS | shared], axis=1)
-                    to = np.searchsorted(starts, c, "right") - 1
-                    edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+                    to = home[v]
+                    here = np.flatnonzero(to >= 0)
+                    common[to[here]] = cap
+                    while True:  # common prefixes follow from those of entries before, so this ends
+                        shared = np.where(before >= 0, np.minimum(cap, 1 + least.since(before, at, common)), 0)
+                        if (common[to[here]] == shared[here]).all():
+                            break
+                        common[to[here]] = shared[here]
+                    pushed = np.stack([2 * c, (place[v] - 1) << BITS | shared], axis=1)[to < 0]
+                    to = np.searchsorted(starts, c[to < 0], "right") - 1
+                    edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
                     for i, j in zip(edges, edges[1:]):
                         if to[i] == b and not alone:
                             near = by_first(np.concatenate([near, pushed[i:j]]))
                         else:
                             queue.push(int(to[i]), pushed[i:j])
+                made = np.flatnonzero(kind == 0)
+                if len(made):
+                    out.append(np.stack([symbol[made], place[made] << BITS | common[made]], axis=1))
                 least.extend(common)
                 latest = (int(symbol[-1]), int(place[-1]), int(kind[-1]))
-                used = [n if full == [k] else 0 for k in range(3)] if source is None else np.bincount(source[:n], minlength=3).tolist()
-                base = base[used[0] :]
-                if used[1]:
-                    # what was pushed meanwhile comes after the entries that were there
-                    near = near[used[1] :]
-                seed.take(used[2])
         return out
 
     def order(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -500,6 +493,45 @@ class Sorter:
             yield place, common
 
 
+def _with_children(rows: np.ndarray, symbols: Callable, limit: int) -> tuple[np.ndarray, ...]:
+    """Sorted rows with all that they induce below `limit`, in order; the symbol that each induces, whether it does, and the row of what it induced here, or -1.
+
+    What is induced stands by its symbol, after entries of that symbol that were there, and among its like in the order of parents.
+    """
+    parts, parents, offset = [rows], [np.full(len(rows), -1)], 0
+    children, valids = [], []
+    while True:
+        new = parts[-1]
+        symbol, kind, place = new[:, 0] >> 1, new[:, 0] & 1, new[:, 1] >> BITS
+        child = symbols(np.maximum(place - 1, 0))
+        valid = (place > 0) & (child >= symbol + kind)
+        children.append(child)
+        valids.append(valid)
+        inner = np.flatnonzero(valid & (2 * child < limit))
+        if not len(inner):
+            break
+        parts.append(np.stack([2 * child[inner], (place[inner] - 1) << BITS], axis=1))
+        parents.append(offset + inner)
+        offset += len(new)
+    if len(parts) == 1:
+        return rows, child, valid, np.full(len(rows), -1)
+    rows, parent, child, valid = map(np.concatenate, (parts, parents, children, valids))
+    own, m = np.flatnonzero(parent >= 0), len(rows)
+    key, rank, order = (rows[:, 0] - rows[:, 0].min()) * (m + 1), np.arange(m), None
+    while True:  # an entry's place follows from that of a smaller one, so this ends
+        tie = key.copy()
+        tie[own] += rank[parent[own]] + 1
+        again = np.argsort(tie, kind="stable")
+        if order is not None and (again == order).all():
+            break
+        order = again
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+    home = np.full(m, -1)
+    home[rank[parent[own]]] = rank[own]
+    return rows[order], child[order], valid[order], home
+
+
 def _held_back(blocks: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """Blocks with the row that comes next."""
     held = None
