@@ -18,8 +18,12 @@ from .components import components
 BUCKET = 4096
 #: Times a large bucket is dealt out anew before it is compared block by block whatever its size.
 LEVELS = 6
-#: Bands of least hashes and hashes in each: a pair of similarity s shares a band with probability 1 - (1 - s^DEPTH)^BANDS, 0.9999 at 0.8.
-BANDS, DEPTH = 24, 5
+#: Bands of least hashes and hashes in each: a pair of similarity s shares a band with probability 1 - (1 - s^DEPTH)^BANDS, 0.9998 at 0.8.
+BANDS, DEPTH = 16, 4
+#: Rounds in which rows are tried against heads of their buckets only, before candidates are sought among all members.
+STARS = 2
+#: Bucket heads (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -241,21 +245,36 @@ def _partners(table: DataFrame, most: int, reach: int) -> DataFrame:
     return table.select("key", "doc", "fp", "root").mapInArrow(run, "a long, b long, more boolean")
 
 
-def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 6, reach: int = 20) -> DataFrame:
+def _keyed(rows: DataFrame, radius: int) -> DataFrame:
+    """(doc, fp, root, key) of rows (doc, fp, bands, root) for each mask and band."""
+    each = [F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))) for j, x in enumerate(masks(radius))]
+    return rows.select("doc", "fp", "root", F.explode(F.concat(F.array(*each), "bands")).alias("key"))
+
+
+def _mixed(keyed: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, head) of the buckets that hold rows of different roots, with the smallest root; and whether they may be broadcast."""
+    ends = keyed.groupBy("key").agg(F.min("root").alias("head"), F.max("root").alias("high"))
+    mixed, _ = written(ends.where("head < high").select("key", "head"), "heads")
+    return mixed, mixed.count() <= BROADCAST_ROWS
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, reach: int = 24) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each group of rows linked by a similarity of `least` or more, directly or in steps.
 
     Similarity is the Jaccard similarity of sets of `shingle`-word shingles of
-    lower-cased words, checked on the texts. Candidates are all pairs of
-    fingerprints within `radius` bits, those within `reach` bits that meet
-    under a mask, and, as pairs of similarity 0.8 differ in 10 bits and more, all
-    pairs that share a band of least hashes, whatever their fingerprints. A row
-    without words counts as a copy of any other such row. Null texts are empty;
-    null doc_ids come last. Rows with the same text keep the smallest doc_id,
-    repeated rows one. All columns come back as they are.
-
-    A row is first checked against its first candidate, then against more and
-    more of those that are not in its group yet, until none is left unchecked; so
-    a large group gives no pairs of its members.
+    lower-cased words, checked on the texts. Candidates are pairs that meet under a
+    mask (all pairs of fingerprints within `radius` bits do) or, as pairs of
+    similarity 0.8 differ in 10 bits or so, that share a band of least hashes, and
+    whose fingerprints are within `reach` bits. A row without words counts as a
+    copy of any other such row. Null texts are empty; null doc_ids come last. Rows
+    with the same text keep the smallest doc_id, repeated rows one. Very long texts
+    are hashed in blocks. All columns come back as they are; no rows give none.
+
+    First each row is checked against the head of its buckets (the smallest root in
+    them) that most of its buckets have; a large group of copies so becomes one
+    root, without pairs of its members, and buckets of one root are done. Then rows
+    of the buckets that are left are checked against more and more members of
+    other roots, until none is left unchecked.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -266,25 +285,35 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     prints = _sketches(marked.select(F.col("__doc").alias("doc"), "text"), shingle)
     first = groups.select("doc")
     rows, p1 = written(prints.join(first, "doc", "left_semi").distinct(), "fingerprints")
-    masked = dealt(rows.select("doc", "fp"), radius).select("key", "doc", "fp")
-    # equal fp in a band's bucket: all its members are candidates
-    banded = rows.select(F.explode("bands").alias("key"), "doc", F.lit(0).cast("long").alias("fp")).repartition("key").sortWithinPartitions("key", "doc")
-    company = [x.mapInArrow(_in_company, "key long, doc long, fp long") for x in (masked, banded)]
-    buckets, p2 = written(company[0].unionAll(company[1]), "buckets")
-    most, links = 1, spark.createDataFrame([], "a long, b long")
+    links, tried = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "doc long, root long")
+    rooted = lambda x: x.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    for _ in range(STARS):
+        keyed = _keyed(rooted(rows), radius)
+        heads, few = _mixed(keyed)
+        met = keyed.join(F.broadcast(heads) if few else heads, "key", "left").where(F.coalesce("head", "root") != F.col("root"))
+        votes = met.groupBy("doc", "head").count().toDF("a", "b", "n").join(tried, ["a", "b"], "left_anti")
+        best, _ = written(votes.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b")), "pairs")
+        if best.isEmpty():
+            break
+        good, _ = written(_verified(marked, best, shingle, least), "copies")
+        tried, links = tried.unionAll(best), links.unionAll(good)
+        roots = components(links).toDF("doc", "root")
+    keyed = _keyed(rooted(rows), radius)
+    heads, few = _mixed(keyed)
+    members, p2 = written(keyed.join(F.broadcast(heads.select("key")) if few else heads.select("key"), "key").select("key", "doc", "fp"), "buckets")
+    most = 16
     while True:
-        placed = buckets.join(roots, "doc", "left").select("key", "doc", "fp", F.coalesce("root", "doc").alias("root"))
-        pairs = _partners(placed.repartition("key").sortWithinPartitions("key", "doc"), most, reach)
+        pairs = _partners(rooted(members).repartition("key").sortWithinPartitions("key", "doc"), most, reach)
         # the first candidates over all buckets
-        tried = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"), F.max("more").alias("more"))
-        tried, _ = written(tried.select("a", F.slice("b", 1, most).alias("b"), (F.col("more") | (F.size("b") > most)).alias("more")), "pairs")
-        if tried.isEmpty():
+        some = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"), F.max("more").alias("more"))
+        some, _ = written(some.select("a", F.slice("b", 1, most).alias("b"), (F.col("more") | (F.size("b") > most)).alias("more")), "pairs")
+        if some.isEmpty():
             break
-        good, _ = written(_verified(marked, tried.select("a", F.explode("b").alias("b")), shingle, least), "copies")
+        good, _ = written(_verified(marked, some.select("a", F.explode("b").alias("b")), shingle, least), "copies")
         links = links.unionAll(good)
         roots = components(links).toDF("doc", "root")
-        if tried.where("more").isEmpty():
+        if some.where("more").isEmpty():
             break
         most *= 16
     keep = groups.join(roots, "doc", "left_anti").select(F.col("doc").alias("__doc"), "__h1", "__h2")
@@ -297,12 +326,6 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     return out.select(*[F.col(c if c in ("doc_id", "text") else f"__in_{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose bucket has others."""
-    for _, piece in _runs(batches, None):
-        yield pa.RecordBatch.from_arrays([pa.array(piece[:, i]) for i in range(3)], ["key", "doc", "fp"])
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) of documents whose texts are similar enough."""
     ids = pairs.select(F.col("a").alias("__doc")).unionAll(pairs.select("b")).distinct()
