@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -22,7 +23,11 @@ from .common import prepare, shared_path
 FILE_BYTES = 128 << 20
 #: Rows of firsts (digest and id) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-MANIFEST = "files.json"
+#: Each committed write adds a manifest of its files; a folder without any is read whole.
+MANIFEST = "files-"
+ARCHIVE = ".warc.gz"
+#: Bytes that are decompressed at once while a record's headers are read.
+HEAD = 4096
 #: Columns that come from one named header each.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", headers map<string,string>, payload binary"
@@ -47,7 +52,7 @@ def member(data: bytes) -> bytes:
 
 
 def record(headers: dict[str, str], block: bytes) -> bytes:
-    lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in headers.items())
+    lines = "".join(f"{k}: {re.sub('[\r\n]+', ' ', v)}\r\n" for k, v in headers.items())
     return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
@@ -71,41 +76,68 @@ class Wanted:
         return all(headers.get(HEADERS[c]) in v for c, v in self.values.items())
 
 
+class Member:
+    """A gzip member of an open archive, decompressed piece by piece, never further than asked for."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        first = f.read(1 << 14)
+        self.f, self.fed, self.out = f, len(first), 0
+        self.length = struct.unpack("<I", first[16:20])[0] if len(first) > 20 and first[3] & 4 and first[12:14] == b"sl" else None
+        self.d, self.rest = zlib.decompressobj(31), first
+
+    def piece(self, most: int) -> bytes:
+        """Up to `most` more bytes; none at the end."""
+        while not self.d.eof:
+            if not self.rest:
+                self.rest = self.f.read(1 << 16)
+                self.fed += len(self.rest)
+                if not self.rest:
+                    raise ValueError("archive ends within a record")
+            data = self.d.decompress(self.rest, most)
+            self.rest = self.d.unconsumed_tail
+            if data:
+                self.out += len(data)
+                return data
+        return b""
+
+    def beginning(self) -> tuple[dict[str, str], bytes]:
+        """The headers, and what of the block came with them."""
+        data = b""
+        while b"\r\n\r\n" not in data and (more := self.piece(HEAD)):
+            data += more
+        head, _, block = data.partition(b"\r\n\r\n")
+        return parse_headers(head), block
+
+    def size(self) -> int:
+        """Bytes of the member: from its extra field, or, in archives of others, by decompressing it."""
+        if self.length is None:
+            while self.piece(1 << 20):
+                pass
+            self.length = self.fed - len(self.d.unused_data)
+        return self.length
+
+
 def read_records(f, wanted: Wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the wanted records of an open archive of gzip members.
 
-    Only a member's beginning is decompressed for its headers; the rest is passed
-    over, by the length in its extra field, unless the record is wanted with payload.
+    Of a record that isn't wanted, or wanted without payload, HEAD bytes or so are
+    decompressed for its headers; the rest is passed over by the length in its extra
+    field. Only archives without that field are decompressed to the member's end.
     """
-    size = f.size()
-    at = 0
+    size, at = f.size(), 0
     while at < size:
-        f.seek(at)
-        first = f.read(min(1 << 14, size - at))
-        length = struct.unpack("<I", first[16:20])[0] if first[3] & 4 and first[12:14] == b"sl" else None
-        d = zlib.decompressobj(31)
-        data, used = d.decompress(first), len(first)
-        while b"\r\n\r\n" not in data and not d.eof:
-            more = f.read(1 << 16)
-            if not more:
-                raise ValueError("archive ends within a record")
-            used += len(more)
-            data += d.decompress(more)
-        head, _, block = data.partition(b"\r\n\r\n")
-        headers = parse_headers(head)
+        member = Member(f, at)
+        headers, block = member.beginning()
         want = wanted.takes(headers)
-        parts = [block]
-        if length is None or want and wanted.payload:
-            while not d.eof:
-                more = f.read(1 << 20)
-                if not more:
-                    raise ValueError("archive ends within a record")
-                used += len(more)
-                parts.append(d.decompress(more))
-            length = length or used - len(d.unused_data)
-        at += length
+        if want and wanted.payload:
+            parts = [block]
+            while more := member.piece(1 << 20):
+                parts.append(more)
+            block = b"".join(parts)
+        at += member.size()
         if want:
-            yield headers, _payload(headers, b"".join(parts)) if wanted.payload else None
+            yield headers, _payload(headers, block) if wanted.payload else None
 
 
 def _payload(headers: dict[str, str], block: bytes) -> bytes:
@@ -136,11 +168,8 @@ class WarcReader(DataSourceReader):
                 yield x
 
     def partitions(self) -> list[ArchiveFile]:
-        """The files that the committed write lists."""
-        store, base = _store(self.path)
-        with store.open_input_stream(f"{base}/{MANIFEST}") as f:
-            names = json.loads(f.read())
-        return [ArchiveFile(n) for n in names]
+        """The files that committed writes list, or all archives of a folder that none of them made."""
+        return [ArchiveFile(n) for n in _listed(*_store(self.path))]
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file at all
@@ -159,6 +188,26 @@ class WarcReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
 
+def _manifests(store, base: str) -> list[str]:
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
+def _listed(store, base: str) -> list[str]:
+    from pyarrow import fs
+
+    if made := _manifests(store, base):
+        names = []
+        for path in made:
+            with store.open_input_stream(path) as f:
+                names += json.loads(f.read())
+        return sorted(names)
+    found = store.get_file_info(fs.FileSelector(base))
+    return sorted(x.base_name for x in found if x.base_name.endswith(ARCHIVE))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -167,8 +216,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """A file or more for each task, under new names for each attempt; only what the driver's commit lists counts."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator[Row]) -> Written:
         store, base = _store(self.path)
@@ -180,7 +229,7 @@ class WarcWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     context = TaskContext.get()
-                    files.append(f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.warc.gz")
+                    files.append(f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}{ARCHIVE}")
                     out = store.open_output_stream(f"{base}/{files[-1]}", compression=None)
                 out.write(member(record(*_headers(r))))
         finally:
@@ -191,8 +240,14 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
+        old = _manifests(store, base)
+        gone = _listed(store, base) if self.overwrite else []
+        with store.open_output_stream(f"{base}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.files)).encode())
+        if self.overwrite:
+            new = {n for m in messages if m for n in m.files}
+            for path in [*old, *(f"{base}/{n}" for n in gone if n not in new)]:
+                store.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, base = _store(self.path)
@@ -227,7 +282,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -244,7 +299,9 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     others revisit it. Payloads are compared by SHA-1. A null page_id comes last:
     it revisits if its group has any id, else it is a response. Rows with equal
     payload and the group's smallest page_id, repeated rows that is, are all responses.
-    Null urls leave the header out. No rows give archives without records.
+    Null urls leave the header out; line ends in them become spaces. Ids of any type
+    are kept as they are. Payloads may be of any length. Other columns, whatever
+    their names, are left out. No rows give archives without records.
     """
     names = {"page_id", "url", "html"}
     rows = pages.toDF(*[c if c in names else f"__extra_{i}" for i, c in enumerate(pages.columns)])
@@ -256,7 +313,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     few = firsts.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(firsts) if few else firsts, "sha1", "left")
     late = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">")), F.lit("<urn:page>"))
     records = rows.select(
         F.when(late, "revisit").otherwise("response").alias("record_type"),
         urn("page_id").alias("record_id"),
@@ -293,10 +350,10 @@ def archived(pages: DataFrame, least: int = 0, path: str | None = None) -> DataF
     path = path or shared_path(spark, "warc")
     write_pages(pages, path, least)
     kind = pages.schema["page_id"].dataType.simpleString()
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+    page = lambda c: F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))
     full = read_archives(spark, path, True).where("record_type = 'response'")
     full = base32(full.withColumn("payload_digest", F.concat(F.lit("sha1:"), F.sha1("payload")))).withColumn("bytes", F.octet_length("payload").cast("long"))
     rest = read_archives(spark, path).where("record_type = 'revisit'").withColumn("bytes", F.col("headers")["X-Payload-Length"].cast("long"))
     both = full.drop("payload", "headers").unionByName(rest.drop("payload", "headers"))
-    known = F.when(page("record_id") != "null", page("record_id"))
+    known = F.when(F.col("record_id") != "<urn:page>", page("record_id"))
     return both.select(known.cast(kind).alias("page_id"), F.col("bytes").alias("payload_bytes"), F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast(kind).alias("refers_to"))
