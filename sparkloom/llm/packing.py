@@ -6,7 +6,6 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +83,7 @@ class Bins:
                 return
             pool = sorted((self.sizes[i], i) for b in order for i in self.items[b])
             of = {i: b for b in order for i in self.items[b]}
-            pairs = sorted((self.sizes[x] + self.sizes[y], x, y) for b in order if len(self.items[b]) <= 48 for k, x in enumerate(self.items[b]) for y in self.items[b][:k])
+            pairs = sorted(p for b in order for p in self._pairs(b))
             for a in order:
                 while self.fill[a] < self.capacity:
                     best = self._best(a, pool, pairs, of)
@@ -106,6 +105,18 @@ class Bins:
                     changed = True
         return
 
+    def _pairs(self, b: int) -> Iterator[tuple[int, int, int]]:
+        """Two items of a bin for each two sizes in it: (their sum, item, item). Sizes add up to `capacity` at most, so few of them differ."""
+        by: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            by.setdefault(self.sizes[i], []).append(i)
+        sizes = sorted(by)
+        for k, x in enumerate(sizes):
+            if len(by[x]) > 1:
+                yield 2 * x, by[x][0], by[x][1]
+            for y in sizes[:k]:
+                yield x + y, by[x][0], by[y][0]
+
     def _best(self, a: int, pool: list, pairs: list, of: dict) -> tuple[int, list[int], list[int]] | None:
         """The exchange that fills bin a most: (gain, items to give, items to take)."""
         room, best = self.capacity - self.fill[a], None
@@ -145,23 +156,26 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, bloc
     A document is its ids followed by end_id; only one longer than `capacity` is
     cut. A null or empty text is end_id alone. Repeated rows are packed as often as
     they are there; equal lengths are taken in the order of doc_id and piece; other
-    columns are left out; no rows give none. Pieces are dealt out to blocks of about
-    `block` by a hash, so blocks are even whatever the data; each is packed in one task.
+    columns are left out; no rows give none; very long texts are many pieces. Pieces
+    are dealt out to blocks of about `block` by a hash of their row number in the
+    table they are written to first, so blocks are even whatever the data; each is
+    packed in one task.
     """
     rows, _ = written(pieces(docs, path, capacity, end_id), "pieces")
     blocks = max(1, -(-rows.count() // block))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        sizes = d["length"].tolist()
-        seq, off = [0] * len(d), [0] * len(d)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.select(names).sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        sizes = t.column("length").to_pylist()
+        seq, off = [0] * len(sizes), [0] * len(sizes)
         for s, items in enumerate(pack_block(sizes, capacity)):
             at = 0
             for i in sorted(items):
-                seq[i], off[i] = (int(key[0]) << 32) + s, at
+                seq[i], off[i] = (key[0].as_py() << 32) + s, at
                 at += sizes[i]
-        return d.drop(columns="block").assign(sequence_id=seq, offset=off)
+        return t.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
