@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +42,31 @@ def tiles(p: list[int], t: list[int], least: int) -> list[tuple[int, int, int]]:
     windows of the pattern by their rolling hash, compared word by word and
     lengthened as far as they go. One over 2s starts again with its length; else
     the matches are marked, longest first, earliest in the pattern and then in the
-    text, and s is halved, down to `least`.
+    text; of one that meets a tile, what is left goes back among the others. Then s
+    is halved, down to `least`.
     """
     mark_p, mark_t = [x < 0 for x in p], [x < 0 for x in t]
     out, s = [], max(least, min(FIRST, len(p)))
     while True:
-        found = _matches(p, t, mark_p, mark_t, s)
-        longest = max((n for _, _, n in found), default=0)
+        found = [(-n, i, j) for i, j, n in _matches(p, t, mark_p, mark_t, s)]
+        longest = max((-n for n, _, _ in found), default=0)
         if longest > 2 * s:
             s = longest
             continue
-        for i, j, n in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
-            if not any(mark_p[i : i + n]) and not any(mark_t[j : j + n]):
-                mark_p[i : i + n] = mark_t[j : j + n] = [True] * n
-                out.append((i, j, n))
+        heapify(found)
+        while found:
+            n, i, j = heappop(found)
+            free = [k for k in range(-n) if not mark_p[i + k] and not mark_t[j + k]]
+            if len(free) == -n:
+                mark_p[i : i - n] = mark_t[j : j - n] = [True] * -n
+                out.append((i, j, -n))
+                continue
+            for k, g in groupby(enumerate(free), lambda x: x[1] - x[0]):  # what other tiles have left of it
+                part = [x for _, x in g]
+                if len(part) >= s:
+                    heappush(found, (-len(part), i + part[0], j + part[0]))
         if s <= least:
-            if not found or longest < least or not _matches(p, t, mark_p, mark_t, least):
-                return out
-            continue
+            return out
         s = max(least, s // 2)
 
 
@@ -97,6 +106,16 @@ def _rolled(x: list[int], mark: list[bool], s: int) -> Iterator[tuple[int, int]]
             yield i - s + 1, h
 
 
+def _spans(hashes: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of g begins in sorted hashes, and how often it stands there."""
+    low = np.searchsorted(hashes, g, "left")
+    return low, np.searchsorted(hashes, g, "right") - low
+
+
+def _expanded(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 @dataclass
 class Tests:
     """A bounded block of benchmark items, ready for seeding."""
@@ -105,7 +124,7 @@ class Tests:
     words: dict[bytes, int]
     items: list[np.ndarray]
     least: list[int]  # shortest tile of each item
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by seed length: sorted hashes, item, place
+    seeds: dict[int, tuple[np.ndarray, ...]]  # by seed length: sorted hashes, item, place; and the different pairs of the first two
 
     @classmethod
     def of(cls, rows: list[tuple[object, bytes]], least: int) -> Tests:
@@ -127,7 +146,9 @@ class Tests:
                     place.append(np.arange(len(g)))
             h, item, place = map(np.concatenate, (h, item, place))
             order = np.argsort(h, kind="stable")
-            seeds[k] = h[order], item[order], place[order]
+            h, item, place = h[order], item[order], place[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])) if len(h) else np.zeros(0, bool)
+            seeds[k] = h, item, place, h[once], item[once]
         return cls(ids, words, items, short, seeds)
 
     def found(self, text: bytes, coverage: float) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
@@ -136,27 +157,28 @@ class Tests:
         ids = np.fromiter((self.words.get(x, -1) for x in w), np.int64, len(w))
         out = []
         known = np.concatenate([[0], np.cumsum(ids < 0)])
-        for k, (hashes, item, place) in self.seeds.items():
+        for k, (hashes, item, place, each, of) in self.seeds.items():
             if len(ids) < k:
                 continue
             full = np.flatnonzero(known[k:] == known[:-k])  # windows of benchmark words only
             if not len(full):
                 continue
             g = _grams(ids, k)[full]
-            low, high = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
-            hit = np.flatnonzero(high > low)
+            low, n = _spans(each, g)
+            hit = np.flatnonzero(n)
             if not len(hit):
                 continue
-            n = (high - low)[hit]
-            seed = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(full[hit], n)
-            by = np.argsort(item[seed], kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(item[seed][by])) + 1):
-                i = int(item[seed[part[0]]])
+            seed, where = _expanded(low[hit], n[hit]), np.repeat(full[hit], n[hit])
+            low, n = _spans(hashes, np.unique(g[hit]))
+            places = _expanded(low, n)  # of an item's repeats, once each, however often the text repeats them
+            inside = {int(i): place[places[item[places] == i]] for i in np.unique(item[places])} if len(places) else {}
+            by = np.argsort(of[seed], kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(of[seed][by])) + 1):
+                i = int(of[seed[part[0]]])
                 p = self.items[i]
                 reach = np.zeros(len(p), bool)
                 for o in range(k):
-                    reach[place[seed[part]] + o] = True
+                    reach[inside[i] + o] = True
                 if reach.sum() < coverage * len(p):  # no tiling can cover more
                     continue
                 at = np.unique((np.unique(where[part])[:, None] + np.arange(k)).ravel())
@@ -188,7 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
     reordered passages count. `coverage` is the share of the item's words that must
     lie in tiles. Null or empty texts match nothing; repeated rows and repeated
     items come back as often as they are there; empty tables give no rows; other
-    columns are left out.
+    columns, whatever their names, are left out. A very long text costs as much as
+    it has words that stand in runs of the benchmark, however often they repeat.
     """
     prepare(docs.sparkSession)
     rows = only(docs, ["doc_id", "text"]).select("doc_id", text_or_empty().cast("binary").alias("text"))

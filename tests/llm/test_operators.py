@@ -233,18 +233,41 @@ def test_tiles_against_plain_greedy_tiling():
                     if n >= least:
                         best.append((-n, i, j))
             if not best:
-                return sum(n for *_, n in out)
+                return out
             n, i, j = min(best)
             mp[i : i - n] = mt[j : j - n] = [True] * -n
             out.append((i, j, -n))
 
     r = random.Random(2)
-    for _ in range(200):
+    for _ in range(600):
         p, t = [r.randint(0, 3) for _ in range(r.randint(1, 25))], [r.randint(0, 3) for _ in range(r.randint(1, 40))]
-        got = decontaminate.tiles(p, t, 3)
-        assert all(p[i : i + n] == t[j : j + n] and n >= 3 for i, j, n in got)
-        assert max((n for *_, n in got), default=0) == max((n for n in [plain(p, t, 3)] if n == 0), default=max((n for *_, n in got), default=0))
-        assert (sum(n for *_, n in got) == 0) == (plain(p, t, 3) == 0)
+        assert decontaminate.tiles(p, t, 3) == plain(p, t, 3)
+    p = [r.randint(0, 9) for _ in range(200)]  # tiles far over the first window, in another order
+    t = p[120:] + [99] + p[:120] + p[50:90]
+    assert decontaminate.tiles(p, t, 5) == plain(p, t, 5)
+
+
+def test_contamination_against_brute_force(spark):
+    """Coverage, tiles and places for every pair, with items and texts that repeat themselves, and columns that clash."""
+    r = random.Random(22)
+    few = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    text = lambda n: [r.choice(few) for _ in range(n)]
+    items = [text(r.randint(6, 30)) for _ in range(12)] + [["aa"] * 20, ["bb", "cc"] * 10]
+    texts = [text(r.randint(0, 60)) + r.choice(items)[: r.randint(3, 30)] + ["own"] + text(9) for _ in range(60)] + [["aa"] * 400, ["bb", "cc"] * 300]
+    want = {}
+    for d, t in enumerate(texts):
+        for k, p in enumerate(items):
+            words = {w: x for x, w in enumerate(p)}
+            got = decontaminate.tiles([words[w] for w in p], [words.get(w, -1) for w in t], 5)
+            share = sum(n for *_, n in got) / len(p)
+            if share >= 0.6:
+                want[d, k] = (share, len(got), max(n for *_, n in got))
+    df = spark.createDataFrame([(d, " ".join(t), "x", 1.0) for d, t in enumerate(texts)], "doc_id long, text string, item_id string, coverage double")
+    bench = spark.createDataFrame([(k, " ".join(p), 0) for k, p in enumerate(items)], "item_id long, text string, doc_id int")
+    rows = decontaminate.contaminated(df, bench).collect()
+    assert {(x.doc_id, x.item_id): (x.coverage, x.n_tiles, x.longest) for x in rows} == want and len(rows) == len(want) > 20
+    kept = decontaminate.without_contaminated(df, bench)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
 def test_token_counts(docs, none):
@@ -301,6 +324,23 @@ def test_packing(docs, none):
     assert packing.pack(none, path).isEmpty()
 
 
+def test_packing_of_equal_rows_and_large_ids(spark):
+    """Equal rows go to even blocks, and ids beside a null one stay whole."""
+    path = pt.path("word_bpe_49k.json")
+    rows = [(None, "same words")] * 300 + [(9007199254740993 + i, "same words") for i in range(100)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, capacity=64, block=50).collect()
+    assert sorted(x.doc_id for x in got if x.doc_id is not None) == [9007199254740993 + i for i in range(100)] and len(got) == 400
+    blocks = collections.Counter(x.sequence_id >> 32 for x in got)
+    assert len(blocks) == 8 and max(blocks.values()) < 100
+
+
+def test_pairs_of_bins_with_very_many_items():
+    bins = packing.Bins([1] * 60 + [2] * 20 + [97] * 2, 100)
+    bins.improve()
+    assert sorted(bins.fill)[-2:] == [100, 100]
+    assert sorted(packing.Bins([3, 3, 1], 100)._pairs(0)) == [(4, 0, 2), (6, 0, 1)]
+
+
 def test_exchanges_empty_a_bin():
     sizes = [4, 2, 4, 3, 3, 3, 3, 5, 3, 9]  # best fit needs five bins of ten, exchanges leave four
     bins = packing.Bins(sizes, 10)
@@ -420,6 +460,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(pages.limit(0), path=f"file://{tmp_path}/none").isEmpty()
 
 
+def test_warc_appends_and_archives_of_others(spark, tmp_path):
+    """Two writes to one folder are both read, an overwrite replaces them, and a folder without manifests is read whole."""
+    warc.register(spark)
+    path = f"{tmp_path}/w"
+    page = lambda i: spark.createDataFrame([(i, "u", f"text {i}", "x", "y")], "page_id string, url string, html string, PAGE string, payload string")
+    for i in ("a  b", "null"):
+        warc.write_pages(page(i), f"file://{path}")
+    read = lambda at: sorted(bytes(r.payload).decode() for r in warc.read_archives(spark, at, True).collect())
+    assert read(path) == ["text a  b", "text null"]
+    other = tmp_path / "other"
+    other.mkdir()
+    body = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    import gzip
+
+    (other / "x.warc.gz").write_bytes(gzip.compress(body) + gzip.compress(body.replace(b"hello", b"world")))
+    assert read(str(other)) == ["hello", "world"]
+    warc.read_archives(spark, str(other), True).write.format("warc").mode("overwrite").option("path", path).save()
+    assert read(path) == ["hello", "world"]
+    rows = [("a  b", "u", None), (" null", "u", ""), ("null", None, "x" * 30), (None, "u", "x" * 30), ("é\n", "u", "x" * 30)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id string, url string, html string"), least=10, path=f"{tmp_path}/ids").collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("a  b", "response", None), (" null", "response", None), ("null", "response", None), (None, "revisit", "null"), ("é\n", "revisit", "null")}
+
+
+def test_warc_headers_are_read_without_the_payload(tmp_path):
+    import pyarrow as pa
+
+    data = b"".join(warc.member(warc.record({"WARC-Type": "response", "WARC-Record-ID": str(i)}, b"a" * 10_000_000)) for i in range(3))
+    f = pa.BufferReader(data)
+    member = warc.Member(f, 0)
+    assert member.beginning()[0]["WARC-Record-ID"] == "0" and member.out <= warc.HEAD
+    assert [h["WARC-Record-ID"] for h, _ in warc.read_records(f, warc.Wanted({"record_id": ["1"]}, False))] == ["1"]
+    assert [len(x) for _, x in warc.read_records(f, warc.Wanted({"record_id": ["2"]}, True))] == [10_000_000]
+
+
 def test_secret_scan(spark, docs, none):
     key = "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
     texts = ['a Token = "abcdef12" b', "password: abc", "é AKIA" + "A1" * 8 + " AKIAX", "x " + "0af" * 8 + " y", f"auth key={key} end", None, "token=tokentoken", "ſecret=abcdefgh"]
