@@ -26,6 +26,8 @@ def frontier_expand(edges: DataFrame, seed: str, depth: int, from_col: str, to_c
     step = edges.select(F.col(from_col).alias("at"), F.col(to_col).alias("node")).distinct()
     if among is not None:
         step = step.join(among, "node", "left_semi")
+    if depth > 1:
+        step = cut(step)  # every level joins it
     seen = frontier = spark.createDataFrame([(seed, 0)], "node string, dist int")
     for d in range(1, depth + 1):
         new = step.join(frontier.select(F.col("node").alias("at")), "at").select("node").distinct()
@@ -66,6 +68,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 7) -> Dat
     hops = min(max(hops, 1), 20)
     calls = edges.where("type = 'calls'").where(~F.col("dst_id").startswith("external:") & ~F.col("dst_id").contains(":?"))
     calls = calls.select(F.col("src_id").alias("at"), F.col("dst_id").alias("node")).distinct()
+    calls = cut(calls)
     seen = frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     for _ in range(hops if start != goal else 0):
         new = calls.join(frontier.withColumnRenamed("node", "at"), "at").join(seen.select("node"), "node", "left_anti")

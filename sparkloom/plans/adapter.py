@@ -35,28 +35,31 @@ UNION ALL
 SELECT {_PART}, 'function', replace(p_name, ' ', '_'), replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING), 'python', {_PART_FILE}, CAST(p_partkey % 500 + 1 AS INT), CAST(p_partkey % 500 + 1 + p_size AS INT),
   CASE WHEN p_partkey % 7 = 0 THEN '@app.command()' || chr(10) WHEN p_partkey % 7 = 1 THEN '@cached' || chr(10) ELSE '' END || 'def f():' || chr(10) || repeat('    x = 1 if y or z else 2' || chr(10), p_size % 16),
   CASE WHEN p_size % 3 = 0 THEN 'Part of ' || p_type END, CAST(NULL AS STRING), p_size % 4 <> 0, CAST(NULL AS STRING), CASE WHEN p_partkey % 3 = 0 THEN 'Makes ' || p_name END FROM part
+UNION ALL
+SELECT 'py:web/pages.py:page_' || CAST(page_id AS STRING), 'function', 'page_' || CAST(page_id AS STRING), 'page_' || CAST(page_id AS STRING), 'python', 'web/pages.py', CAST(page_id * 3 + 1 AS INT), CAST(page_id * 3 + 2 AS INT),
+  'def page_' || CAST(page_id AS STRING) || '():' || chr(10) || '    return 1', CAST(NULL AS STRING), CAST(NULL AS STRING), true, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM pages
 """
 
 EDGES = f"""
 SELECT src_id, dst_id, type, line, confidence FROM (
 SELECT {_CUSTOMER} AS src_id, {_PART} AS dst_id, 'calls' AS type, l_linenumber AS line, 1.0 AS confidence
   FROM (SELECT DISTINCT o_custkey, l_partkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey) c
-  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE c_custkey % 4 <> 3
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
 UNION ALL
 SELECT {_PART}, {_SUPPLIER}, 'calls', l_linenumber, 0.9
-  FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem) c JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_partkey % 3 = 0
+  FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem) c JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 UNION ALL
 SELECT 'tbl:nation:' || a.n_name, 'tbl:nation:' || b.n_name, 'imports', 1, 1.0 FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7 + 3) % 25 OR b.n_nationkey = (a.n_nationkey * a.n_nationkey + 1) % 25
 UNION ALL
-SELECT 'tbl:nation:' || n_name, 'external:lib' || CAST(p_partkey % 40 AS STRING), 'imports', 2 + CAST(p_partkey % 40 AS INT), 0.5 FROM nation JOIN part ON p_partkey % 25 = n_nationkey WHERE p_partkey < 600
+SELECT 'tbl:nation:' || n_name, 'external:lib' || CAST(p_partkey % 40 AS STRING), 'imports', 2 + CAST(p_partkey % 40 AS INT), 0.5 FROM nation JOIN part ON p_partkey % 25 = n_nationkey
 UNION ALL
-SELECT {_PART}, 'external:size' || CAST(p_size AS STRING), 'calls', 9, 0.5 FROM part WHERE p_size % 10 = 0
+SELECT {_PART}, 'external:size' || CAST(p_size AS STRING), 'calls', 9, 0.5 FROM part
 UNION ALL
 SELECT 'py:' || replace(a.p_brand, '#', '_') || '/' || replace(a.p_type, ' ', '_') || '.py:' || replace(a.p_name, ' ', '_') || '_' || CAST(a.p_partkey AS STRING),
   'py:' || replace(b.p_brand, '#', '_') || '/' || replace(b.p_type, ' ', '_') || '.py:' || replace(b.p_name, ' ', '_') || '_' || CAST(b.p_partkey AS STRING), 'imports', 3, 1.0
-  FROM part a JOIN part b ON b.p_partkey = a.p_partkey * 3 + 1 WHERE a.p_partkey % 5 = 0
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey * 3 + 1
 UNION ALL
-SELECT 'route:GET /' || lower(c_mktsegment) || '/' || CAST(c_custkey AS STRING), {_CUSTOMER}, 'calls', 1, 0.7 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0
+SELECT 'route:GET /' || lower(c_mktsegment) || '/' || CAST(c_custkey AS STRING), {_CUSTOMER}, 'calls', 1, 0.7 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'
 ) e GROUP BY src_id, dst_id, type, line, confidence
 """
 

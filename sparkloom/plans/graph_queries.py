@@ -10,24 +10,26 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import search as S
 from . import adapter as A
+from .cut import cut
 
 _NATION = "tbl:nation:NATION_3"
 
 
 def impact_callers(spark, d):
-    e = A.edges(spark, d)
+    e = cut(A.edges(spark, d))
     return G.callers(e, e.where("type = 'calls' and dst_id like 'py:%'").agg(F.min("dst_id")).first()[0], 3)
 
 
 def deps_bfs(spark, d):
-    e = A.edges(spark, d)
+    e = cut(A.edges(spark, d))
     return G.dependencies(e, A.entities(spark, d), e.where("type = 'calls' and src_id like 'py:%'").agg(F.max("src_id")).first()[0], 3)
 
 
 def shortest_path(spark, d):
-    goal = A.edges(spark, d).where("src_id like 'py:%' and dst_id like 'py:%' and type = 'calls'").agg(F.max("dst_id")).first()[0]
-    start = A.edges(spark, d).where("src_id like 'route:%'").agg(F.min("src_id")).first()[0]
-    return G.shortest_path(A.edges(spark, d), start, goal, 7).select(F.array_join("path", " > ").alias("path"))
+    e = cut(A.edges(spark, d))
+    goal = e.where("src_id like 'py:%' and dst_id like 'py:%' and type = 'calls'").agg(F.max("dst_id")).first()[0]
+    start = e.where("src_id like 'route:%'").agg(F.min("src_id")).first()[0]
+    return G.shortest_path(e, start, goal, 7).select(F.array_join("path", " > ").alias("path"))
 
 
 def path_labels(spark, d):
@@ -49,9 +51,10 @@ def part_cycles(spark, d):
 
 
 def context_pack(spark, d):
-    """Seven customers by id, packed."""
+    """The best of twelve hits of a search, packed."""
     e = A.entities(spark, d)
-    hits = S.ranks(e.where("type = 'method'").orderBy("entity_id").limit(12).select("entity_id", "file"), "entity_id")
+    found = S.ranks(S.literal(e, "customer", 12), F.desc("score"), F.length("name"), "name", "entity_id").select("rank", "entity_id")
+    hits = found.join(e.select("entity_id", "file"), "entity_id")
     return R.packed_context(hits, e, A.edges(spark, d), 7, 1500).select("rank", "entity_id", "file", "preview", "doc", "callers", "callees")
 
 
@@ -93,9 +96,9 @@ QUERIES = {
     "representatives": _both(G.representatives),
     "god_class": _ents(lambda e: Q.god_classes(e, 5)),
     "large_class": _ents(Q.large_classes),
-    "high_coupling": _both(lambda r, e: Q.high_coupling(r, e, 10)),
+    "high_coupling": _both(lambda r, e: Q.high_coupling(r, e, 8)),
     "complex_function": _ents(Q.complex_functions),
-    "smells_ranked": _both(lambda r, e: Q.smells(r, e, god=5, coupling=10)),
+    "smells_ranked": _both(lambda r, e: Q.smells(r, e, god=5, coupling=8)),
     "dead_code": _both(Q.dead_code),
     "dead_code_methods": _both(lambda r, e: Q.dead_code(r, e, methods=True)),
     "decorator_registered": _ents(lambda e: e.where(Q.registered(F.col("raw_source"))).select("entity_id")),
@@ -122,7 +125,7 @@ _FILE_IMPORTS = "imp AS (SELECT DISTINCT a.file AS src_file, b.file AS dst_file
 _DEGREE = "deg AS (SELECT entity_id, count(*) AS degree FROM (SELECT src_id AS entity_id FROM edges UNION ALL SELECT dst_id FROM edges WHERE dst_id <> src_id) GROUP BY 1)"
 _GOD = "SELECT 'god-class' AS kind, e.entity_id, e.name, e.file, e.start_line AS line, c.n::BIGINT AS metric, 5::BIGINT AS threshold FROM entities e JOIN (SELECT parent_id, count(*) AS n FROM entities GROUP BY 1) c ON c.parent_id = e.entity_id WHERE e.type = 'class' AND c.n > 5"
 _LARGE = "SELECT 'large-class' AS kind, entity_id, name, file, start_line AS line, (end_line - start_line + 1)::BIGINT AS metric, 500::BIGINT AS threshold FROM entities WHERE type = 'class' AND end_line - start_line + 1 > 500"
-_COUPLING = "SELECT 'high-coupling' AS kind, file AS entity_id, file AS name, file, NULL::INT AS line, n::BIGINT AS metric, 10::BIGINT AS threshold FROM (SELECT a.file, count(DISTINCT dst_id) AS n FROM edges e JOIN entities a ON a.entity_id = e.src_id WHERE e.type = 'imports' GROUP BY 1) WHERE n > 10"
+_COUPLING = "SELECT 'high-coupling' AS kind, file AS entity_id, file AS name, file, NULL::INT AS line, n::BIGINT AS metric, 8::BIGINT AS threshold FROM (SELECT a.file, count(DISTINCT dst_id) AS n FROM edges e JOIN entities a ON a.entity_id = e.src_id WHERE e.type = 'imports' GROUP BY 1) WHERE n > 8"
 _COMPLEX = f"SELECT 'complex-function' AS kind, entity_id, name, file, start_line AS line, (1 + {_DECISIONS})::BIGINT AS metric, 15::BIGINT AS threshold FROM entities WHERE type IN ('function', 'method') AND raw_source IS NOT NULL AND 1 + {_DECISIONS} > 15"
 _REGISTERED = "(raw_source LIKE '@app.command()%')"
 _DEAD = "SELECT entity_id, type, name, file, start_line FROM entities e WHERE type IN ({}) AND language NOT IN ('css', 'html') AND NOT coalesce(" + _REGISTERED + ", false) AND name NOT IN ('main', '__main__') AND NOT starts_with(name, 'test_') AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.dst_id = e.entity_id AND r.type IN ('calls', 'imports'))"

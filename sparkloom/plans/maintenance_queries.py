@@ -155,8 +155,10 @@ def route_handlers(spark, d):
 def http_routes(spark, d):
     base, e, _ = _program(spark, d)
     k = F.col("k")
-    routes = base.select(F.concat(F.lit("route:GET /p/"), (k % 500).cast("string")).alias("src_id"), F.concat(F.lit("py:f"), k.cast("string")).alias("dst_id")).where("cast(substring(dst_id, 5) as long) < 700")
-    dst = F.concat(F.lit("route:?http:GET:/p/"), (k % 900).cast("string"))
+    # of five routes one has two handlers and one has none
+    at = F.when(k % 5 == 1, k - 1).otherwise(k)
+    routes = base.select(F.concat(F.lit("route:GET /p/"), at.cast("string")).alias("src_id"), F.concat(F.lit("py:f"), k.cast("string")).alias("dst_id"))
+    dst = F.concat(F.lit("route:?http:GET:/p/"), (k + 3).cast("string"))
     return R.http_calls(_edges(base, dst), routes).select("edge", "dst_id", "confidence", "is_dynamic")
 
 
@@ -168,7 +170,7 @@ def resolution_stats(spark, d):
 
 def containing_entity(spark, d):
     e = A.entities(spark, d)
-    at = e.where("type = 'method' and start_line % 10 = 0").select(F.xxhash64("entity_id").alias("edge"), "file", (F.col("start_line") + 3).alias("line"))
+    at = e.where("type = 'method'").select(F.xxhash64("entity_id").alias("edge"), "file", (F.col("start_line") + 3).alias("line"))
     return R.containing(at, e).groupBy("entity_id").count()
 
 
@@ -259,9 +261,9 @@ SQL = {
     "resolve_calls": f"WITH {_N} SELECT k AS edge, CASE WHEN k % 3 = 0 THEN {_FN.format('k')} WHEN k % 2 = 0 THEN 'imported:' || k ELSE 'external:f' || (k + 1) END AS dst_id, CASE WHEN k % 3 = 0 THEN 1.0 WHEN k % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM p",
     "resolve_methodcalls": f"WITH {_N} SELECT k AS edge, {_FN.format('(k - k % 4)').replace(':f', ':C')} || '.go' AS dst_id, CASE WHEN k % 4 = 0 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM p",
     "route_handlers": f"WITH {_N} SELECT k AS edge, CASE WHEN k % 2 = 0 THEN {_FN.format('k')} ELSE 'external:route_handler:go' END AS dst_id, 0.5::DOUBLE AS confidence, true AS is_dynamic FROM p",
-    "http_routes": f"WITH {_N} SELECT k AS edge, CASE WHEN k % 900 < 500 AND k % 900 < n AND NOT (k % 900 < 200 AND k % 900 + 500 < n) THEN 'py:f' || k % 900 ELSE 'external:http_route:GET:/p/' || k % 900 END AS dst_id, 0.5::DOUBLE AS confidence, true AS is_dynamic FROM p, n",
+    "http_routes": f"WITH {_N} SELECT k AS edge, CASE WHEN k + 3 < n AND ((k + 3) % 5 > 1 OR (k + 3) % 5 = 0 AND k + 4 = n) THEN 'py:f' || (k + 3) ELSE 'external:http_route:GET:/p/' || (k + 3) END AS dst_id, 0.5::DOUBLE AS confidence, true AS is_dynamic FROM p, n",
     "resolution_stats": f"WITH {_N}, r AS ({_PY}) SELECT count(*) AS inspected, count(*) FILTER (WHERE starts_with(dst_id, 'py:')) AS resolved, count(*) FILTER (WHERE starts_with(dst_id, 'external:')) AS external, count(*) FILTER (WHERE starts_with(dst_id, 'wildcard:')) AS wildcard FROM r",
-    "containing_entity": A.with_sql("SELECT entity_id, count(*) AS count FROM (SELECT a.entity_id AS edge, min_by(b.entity_id, lpad((b.end_line - b.start_line)::VARCHAR, 9, '0') || b.entity_id) AS entity_id FROM (SELECT * FROM entities WHERE type = 'method' AND start_line % 10 = 0) a LEFT JOIN entities b ON a.file = b.file AND b.type IN ('function', 'method') AND a.start_line + 3 BETWEEN b.start_line AND b.end_line GROUP BY 1) GROUP BY 1"),
+    "containing_entity": A.with_sql("SELECT entity_id, count(*) AS count FROM (SELECT a.entity_id AS edge, min_by(b.entity_id, lpad((b.end_line - b.start_line)::VARCHAR, 9, '0') || b.entity_id) AS entity_id FROM (SELECT * FROM entities WHERE type = 'method') a LEFT JOIN entities b ON a.file = b.file AND b.type IN ('function', 'method') AND a.start_line + 3 BETWEEN b.start_line AND b.end_line GROUP BY 1) GROUP BY 1"),
     "moved_expand": f"WITH {_EVENTS} SELECT path, action, 'python' AS language, count(*) AS count FROM rel GROUP BY 1, 2",
     "debounce_sessions": f"WITH {_EVENTS}, {_SESSIONS} SELECT * FROM deb",
     "quarantine": f"WITH {_EVENTS}, r AS (SELECT path, event_id AS seq, event_id % 4 = 0 OR action = 'deleted' AS good FROM ev), i AS (SELECT *, sum(good::INT) OVER (PARTITION BY path ORDER BY seq) AS isl FROM r), f AS (SELECT path, seq, sum((NOT good)::INT) OVER (PARTITION BY path, isl ORDER BY seq)::BIGINT AS failures FROM i) SELECT path, seq, failures, failures >= 3 AS quarantined FROM f",

@@ -54,7 +54,7 @@ def retrieve(spark, d):
 
 def budget(spark, d):
     c = A.tables(spark, d, "conversations")["conversations"]
-    rows = S.ranks(c.where("conv_id < 20").select("conv_id", "turn", T.estimated_tokens(F.col("text")).alias("tokens")), "conv_id", "turn")
+    rows = S.ranks(c.select("conv_id", "turn", T.estimated_tokens(F.col("text")).alias("tokens")), "conv_id", "turn")
     return R.within_budget(rows, 500, F.col("tokens")).select("conv_id", "turn", "rank", "total")
 
 
@@ -141,7 +141,7 @@ SQL = {
         "deg AS (SELECT entity_id, count(*) AS degree FROM (SELECT src_id AS entity_id FROM edges UNION ALL SELECT dst_id FROM edges WHERE dst_id <> src_id) GROUP BY 1)",
         "c AS (SELECT b.entity_id, via, vec.sim, coalesce(degree, 0) AS degree, length(file) AS ix FROM (SELECT entity_id, 'vector' AS via FROM seeds UNION ALL SELECT entity_id, 'graph' FROM near) b JOIN named USING (entity_id) LEFT JOIN vec ON vec.entity_id = b.entity_id LEFT JOIN deg ON deg.entity_id = b.entity_id)",
     ),
-    "prompt_budget": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rank, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS k FROM conversations WHERE conv_id < 20), s AS (SELECT conv_id, turn, rank::INT AS rank, sum(k) OVER (ORDER BY rank)::BIGINT AS total FROM c) SELECT * FROM s WHERE total <= 500 OR rank = 1",
+    "prompt_budget": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rank, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS k FROM conversations), s AS (SELECT conv_id, turn, rank::INT AS rank, sum(k) OVER (ORDER BY rank)::BIGINT AS total FROM c) SELECT * FROM s WHERE total <= 500 OR rank = 1",
     "source_preview": A.with_sql("SELECT entity_id, array_to_string(list_slice(l, 1, 3), chr(10)) || CASE WHEN len(l) > 3 THEN chr(10) || '...' ELSE '' END AS preview FROM (SELECT entity_id, string_split(CASE WHEN raw_source LIKE '%' || chr(10) THEN substring(raw_source, 1, length(raw_source) - 1) ELSE raw_source END, chr(10)) AS l FROM entities WHERE raw_source IS NOT NULL)"),
     "route_normalize": "SELECT page_id, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+:([^?]*)', 1), '/'), lambda x: x <> ''), '/') AS route FROM pages",
 }
