@@ -20,8 +20,13 @@ BUCKET = 4096
 LEVELS = 6
 #: Bands of least hashes and hashes in each: a pair of similarity s shares a band with probability 1 - (1 - s^DEPTH)^BANDS, 0.9998 at 0.8.
 BANDS, DEPTH = 16, 4
-#: Rounds in which rows are tried against heads of their buckets only, before candidates are sought among all members.
+#: Rounds in which texts are tried against heads of their buckets only, before candidates are sought among all members.
 STARS = 2
+#: Times a large bucket of the pipeline's stage is dealt out anew; then it is compared block by block whatever its size.
+SPLITS = 2
+#: Bits of the parity sketch of a text's shingles, and the columns of 64 bits that hold it.
+PARITY = 1024
+WORDS = [f"w{i}" for i in range(PARITY // 64)]
 #: Bucket heads (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -211,125 +216,218 @@ def bands(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), seed=j) for j, x in enumerate(least.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
 
 
+def parity(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of distinct hashes, and for each value of their low bits whether it is had by an odd number of them.
+
+    Sets whose sketches differ in d bits differ in at least d members, for each
+    member that both have changes both sketches alike.
+    """
+    own = np.unique(h)
+    odd = np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return len(own), np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc, fp and the keys of the bands of each row of docs (doc, text)."""
+    """doc, h1, h2, the fingerprint fp, the keys of the bands, and n and WORDS of parity() of each row of docs (doc, h1, h2, text)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [x.lower().split() for x in b.column(1).to_pylist()]
+            if not b.num_rows:
+                continue
+            words = [x.lower().split() for x in b.column(3).to_pylist()]
             h = [_hashes(w, shingle) for w in words]
             fp = np.array([_majority(x) if w else 0 for w, x in zip(words, h)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([bands(x) for x in h], pa.list_(pa.int64()))], ["doc", "fp", "bands"])
+            n, odd = zip(*map(parity, h))
+            columns = [*b.columns[:3], pa.array(fp), pa.array([bands(x) for x in h], pa.list_(pa.int64())), pa.array(n, pa.int64()), *map(pa.array, np.stack(odd, axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "h1", "h2", "fp", "bands", "n", *WORDS])
+
+    kinds = "doc long, h1 long, h2 long, fp long, bands array<long>, n long, " + ", ".join(f"{w} long" for w in WORDS)
+    return docs.select("doc", "h1", "h2", text_or_empty().cast("binary").alias("text")).mapInArrow(run, kinds)
+
+
+def _differ(least: float) -> float:
+    """Sets of n and m members whose Jaccard similarity is `least` or more differ in at most this share of n + m members."""
+    return (1 - least) / (1 + least)
+
+
+def _near_sets(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Whether rows (n, words) of x and y may be similar enough: no pair that is gets False."""
+    n, m = x[:, 0][:, None], y[:, 0][None, :]
+    most = (n + m) * share + 1e-6
+    near = np.abs(n - m) <= most
+    xw, yw = np.ascontiguousarray(x[:, 1:].T).view(np.uint64), np.ascontiguousarray(y[:, 1:].T).view(np.uint64)
+    d = np.zeros(near.shape, np.int16)
+    for w in range(4):
+        d += np.bitwise_count(xw[w][:, None] ^ yw[w][None, :])
+    near &= d <= most
+    i, j = np.nonzero(near)
+    for at in range(0, len(i), 65536):  # the other words only for pairs that are left
+        p, q = i[at : at + 65536], j[at : at + 65536]
+        near[p, q] = d[p, q] + np.bitwise_count(xw[4:, p] ^ yw[4:, q]).sum(axis=0, dtype=np.int64) <= most[p, q]
+    return near
 
-    return docs.select("doc", text_or_empty().cast("binary").alias("text")).mapInArrow(run, "doc long, fp long, bands array<long>")
 
+def _partners(table: DataFrame, most: int, least: float) -> DataFrame:
+    """For each row of a bucket `most` rows of smaller roots that may be similar enough, and whether there are more.
 
-def _partners(table: DataFrame, most: int, reach: int) -> DataFrame:
-    """For each row of a bucket its first `most` earlier rows within `reach` bits that have another root, and whether there are more."""
+    Within a bucket rows are sorted by root, so rows of one root are never compared.
+    """
+    share = _differ(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, piece in _runs(batches, None):
-            doc, fp, root = piece[:, 1], piece[:, 2].view(np.uint64), piece[:, 3]
-            if (root == root[0]).all():
-                continue
-            for i in range(0, len(doc), 256):
-                near = _near(fp[i : i + 256], fp[: i + 256], reach)
-                own = np.arange(i, min(i + 256, len(doc)))
-                near &= (doc[None, : i + 256] < doc[own][:, None]) & (root[None, : i + 256] != root[own][:, None])
-                nth = near.cumsum(axis=1)
-                x, y = np.nonzero(near & (nth <= most))
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[own][x]), pa.array(doc[y]), pa.array((near.sum(axis=1) > most)[x])], ["a", "b", "more"])
-
-    return table.select("key", "doc", "fp", "root").mapInArrow(run, "a long, b long, more boolean")
+            root, node, sets = piece[:, 1], piece[:, 2], piece[:, 3:]
+            start = np.searchsorted(root, root)
+            for i in range(0, len(node), 256):
+                own = slice(i, i + 256)
+                have, found = np.zeros(len(node[own]), np.int64), []
+                for j in range(0, int(start[own].max()), 2048):
+                    near = _near_sets(sets[own], sets[j : j + 2048], share)
+                    near &= np.arange(j, j + near.shape[1])[None, :] < start[own][:, None]
+                    x, y = np.nonzero(near & (have[:, None] + near.cumsum(axis=1) <= most))
+                    have += near.sum(axis=1)
+                    found.append((x, y + j))
+                if have.any():
+                    x, y = (np.concatenate(v) for v in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own][x]), pa.array(node[y]), pa.array((have > most)[x])], ["a", "b", "more"])
+
+    dealt_out = table.select("key", "root", "node", "n", *WORDS).repartition("key").sortWithinPartitions("key", "root", "node")
+    return dealt_out.mapInArrow(run, "a long, b long, more boolean")
 
 
 def _keyed(rows: DataFrame, radius: int) -> DataFrame:
-    """(doc, fp, root, key) of rows (doc, fp, bands, root) for each mask and band."""
-    each = [F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))) for j, x in enumerate(masks(radius))]
-    return rows.select("doc", "fp", "root", F.explode(F.concat(F.array(*each), "bands")).alias("key"))
+    """(node, root, band, key) of rows (node, fp, bands, root) for each mask (band -1) and band."""
+    each = [F.struct(F.lit(-1).alias("band"), F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))).alias("key")) for j, x in enumerate(masks(radius))]
+    banded = F.transform("bands", lambda x, i: F.struct(i.alias("band"), x.alias("key")))
+    return rows.select("node", "root", F.inline(F.concat(F.array(*each), banded)))
+
+
+def _split(rows: DataFrame, radius: int, turn: int) -> DataFrame:
+    """Rows (node, root, band, key, fp, bands) of large buckets dealt out within them: by other masks, or by each later band.
+
+    Of a pair that shares several bands each two of them, in their order, make a
+    bucket; so it is enough to look at later bands.
+    """
+    each = [
+        F.struct(F.lit(-1).alias("band"), F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))).alias("key"))
+        for j, x in enumerate(masks(radius, turn))
+    ]
+    later = F.filter(F.transform("bands", lambda x, i: F.struct(i.alias("band"), F.xxhash64("key", i, x).alias("key"))), lambda s: s["band"] > F.col("band"))
+    return rows.select("node", "root", F.inline(F.when(F.col("band") < 0, F.array(*each)).otherwise(later)))
 
 
 def _mixed(keyed: DataFrame) -> tuple[DataFrame, bool]:
-    """(key, head) of the buckets that hold rows of different roots, with the smallest root; and whether they may be broadcast."""
-    ends = keyed.groupBy("key").agg(F.min("root").alias("head"), F.max("root").alias("high"))
-    mixed, _ = written(ends.where("head < high").select("key", "head"), "heads")
+    """(key, head, rows) of the buckets that hold rows of different roots, with the smallest root; and whether they may be broadcast."""
+    ends = keyed.groupBy("key").agg(F.min("root").alias("head"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+    mixed, _ = written(ends.where("head < high").select("key", "head", "rows"), "heads")
     return mixed, mixed.count() <= BROADCAST_ROWS
 
 
-def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, reach: int = 24) -> DataFrame:
+def _members(rows: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, list[str]]:
+    """(key, node) of the buckets with rows of different roots; those of over `bucket` rows dealt out anew, up to SPLITS times."""
+    keyed, out, paths = _keyed(rows, radius), None, []
+    for turn in range(1, SPLITS + 2):
+        heads, few = _mixed(keyed)
+        joined = keyed.join(F.broadcast(heads) if few else heads, "key").select("key", "node", "root", "band", (F.col("rows") > bucket).alias("large"))
+        table, path = written(joined, "buckets")
+        paths.append(path)
+        last = turn > SPLITS or table.where("large").isEmpty()
+        part = (table if last else table.where("not large")).select("key", "node")
+        out = part if out is None else out.unionAll(part)
+        if last:
+            return out, paths
+        keyed = _split(table.where("large").join(rows.select("node", "fp", "bands"), "node"), radius, turn)
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, bucket: int = 2 * BUCKET) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each group of rows linked by a similarity of `least` or more, directly or in steps.
 
     Similarity is the Jaccard similarity of sets of `shingle`-word shingles of
     lower-cased words, checked on the texts. Candidates are pairs that meet under a
     mask (all pairs of fingerprints within `radius` bits do) or, as pairs of
-    similarity 0.8 differ in 10 bits or so, that share a band of least hashes, and
-    whose fingerprints are within `reach` bits. A row without words counts as a
+    similarity 0.8 differ in 10 bits or so, that share a band of least hashes. Those
+    whose parity sketches show that they differ in too many shingles are left out
+    before texts are read; that bound loses no similar pair. A row without words counts as a
     copy of any other such row. Null texts are empty; null doc_ids come last. Rows
-    with the same text keep the smallest doc_id, repeated rows one. Very long texts
-    are hashed in blocks. All columns come back as they are; no rows give none.
+    with the same text keep the smallest doc_id, repeated rows one; texts that share
+    a doc_id are told apart. Very long texts are hashed in blocks. All columns come
+    back as they are; no rows give none.
 
-    First each row is checked against the head of its buckets (the smallest root in
+    First each text is checked against the head of its buckets (the smallest root in
     them) that most of its buckets have; a large group of copies so becomes one
-    root, without pairs of its members, and buckets of one root are done. Then rows
+    root, without pairs of its members, and buckets of one root are done. Then texts
     of the buckets that are left are checked against more and more members of
-    other roots, until none is left unchecked.
+    other roots, until none is left unchecked. Of these buckets, those of over
+    `bucket` texts are dealt out by further masks and bands first.
     """
     spark = docs.sparkSession
     names = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"__in_{i}" for i, c in enumerate(names)])
-    h = [F.xxhash64(text_or_empty()).alias("__h1"), F.xxhash64(F.lit(1), text_or_empty()).alias("__h2")]
-    marked = plain.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    groups, p0 = written(marked.select("__doc", *h).groupBy("__h1", "__h2").agg(F.min("__doc").alias("doc"), F.count(F.lit(1)).alias("n")), "texts")
-    prints = _sketches(marked.select(F.col("__doc").alias("doc"), "text"), shingle)
-    first = groups.select("doc")
-    rows, p1 = written(prints.join(first, "doc", "left_semi").distinct(), "fingerprints")
+    ident = ["doc", "h1", "h2"]
+    marked = plain.select(
+        "*",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+        F.xxhash64(text_or_empty()).alias("h1"),
+        F.xxhash64(F.lit(1), text_or_empty()).alias("h2"),
+    )
+    copies = marked.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    groups, _ = written(copies.withColumn("node", F.monotonically_increasing_id()), "texts")
+    named = _sketches(marked.select(*ident, "text"), shingle).join(groups.select("node", *ident), ident).drop(*ident)
+    rows, p1 = written(named.dropDuplicates(["node"]), "fingerprints")
+    sets = rows.select("node", "n", *WORDS)
     links, tried = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "doc long, root long")
-    rooted = lambda x: x.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    roots = spark.createDataFrame([], "node long, root long")
+    rooted = lambda x: x.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for _ in range(STARS):
-        keyed = _keyed(rooted(rows), radius)
+        keyed = _keyed(rooted(rows.select("node", "fp", "bands")), radius)
         heads, few = _mixed(keyed)
-        met = keyed.join(F.broadcast(heads) if few else heads, "key", "left").where(F.coalesce("head", "root") != F.col("root"))
-        votes = met.groupBy("doc", "head").count().toDF("a", "b", "n").join(tried, ["a", "b"], "left_anti")
+        met = keyed.join(F.broadcast(heads) if few else heads, "key").where("head != root")
+        votes = met.groupBy("node", "head").count().toDF("a", "b", "n").join(tried, ["a", "b"], "left_anti")
         best, _ = written(votes.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b")), "pairs")
         if best.isEmpty():
             break
-        good, _ = written(_verified(marked, best, shingle, least), "copies")
+        good, _ = written(_verified(marked, groups, _possible(best, sets, least), shingle, least), "copies")
         tried, links = tried.unionAll(best), links.unionAll(good)
-        roots = components(links).toDF("doc", "root")
-    keyed = _keyed(rooted(rows), radius)
-    heads, few = _mixed(keyed)
-    members, p2 = written(keyed.join(F.broadcast(heads.select("key")) if few else heads.select("key"), "key").select("key", "doc", "fp"), "buckets")
+        roots = components(links).toDF("node", "root")
+    members, spare = _members(rooted(rows.select("node", "fp", "bands")), radius, bucket)
     most = 16
     while True:
-        pairs = _partners(rooted(members).repartition("key").sortWithinPartitions("key", "doc"), most, reach)
+        pairs = _partners(rooted(members.join(sets, "node")), most, least)
         # the first candidates over all buckets
         some = pairs.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"), F.max("more").alias("more"))
         some, _ = written(some.select("a", F.slice("b", 1, most).alias("b"), (F.col("more") | (F.size("b") > most)).alias("more")), "pairs")
         if some.isEmpty():
             break
-        good, _ = written(_verified(marked, some.select("a", F.explode("b").alias("b")), shingle, least), "copies")
+        good, _ = written(_verified(marked, groups, some.select("a", F.explode("b").alias("b")), shingle, least), "copies")
         links = links.unionAll(good)
-        roots = components(links).toDF("doc", "root")
+        roots = components(links).toDF("node", "root")
         if some.where("more").isEmpty():
             break
         most *= 16
-    keep = groups.join(roots, "doc", "left_anti").select(F.col("doc").alias("__doc"), "__h1", "__h2")
-    out = marked.select("*", *h).join(keep, ["__doc", "__h1", "__h2"], "left_semi")
-    if not groups.where("n > 1").isEmpty():  # rows of the same doc_id and text
-        twice = marked.select("__doc", *h).groupBy("__doc", "__h1", "__h2").count().where("count > 1")
+    least_row = F.min(F.struct(*ident)).alias("m")
+    keep = rooted(groups).groupBy("root").agg(least_row).select("m.*")
+    out = marked.join(keep, ident, "left_semi")
+    if not groups.where("rows > 1").isEmpty():  # rows of the same doc_id and text
+        twice = marked.select(*ident).groupBy(*ident).count().where("count > 1")
         if not twice.isEmpty():
-            out = out.dropDuplicates(["__doc", "__h1", "__h2"])
-    removed(spark, p1, p2)
+            out = out.dropDuplicates(ident)
+    removed(spark, p1, *spare)
     return out.select(*[F.col(c if c in ("doc_id", "text") else f"__in_{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of documents whose texts are similar enough."""
-    ids = pairs.select(F.col("a").alias("__doc")).unionAll(pairs.select("b")).distinct()
-    texts = docs.join(ids, "__doc", "left_semi").select("__doc", text_or_empty().cast("binary").alias("t")).dropDuplicates(["__doc"])
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that the bound of parity sketches leaves; it loses none that is similar enough."""
+    a, b = sets.toDF("a", "na", *[f"a{w}" for w in WORDS]), sets.toDF("b", "nb", *[f"b{w}" for w in WORDS])
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
+    return pairs.join(a, "a").join(b, "b").where(differ <= (F.col("na") + F.col("nb")) * _differ(least) + 1e-6).select("a", "b")
+
+
+def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of texts that are similar enough; groups names the row of docs of each."""
+    ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    wanted = groups.select("node", "doc", "h1", "h2").join(ids, "node", "left_semi")
+    texts = docs.select("doc", "h1", "h2", text_or_empty().cast("binary").alias("t")).join(wanted, ["doc", "h1", "h2"]).select("node", "t").dropDuplicates(["node"])
     both = pairs.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
