@@ -195,6 +195,43 @@ def test_near_copies_at_the_threshold(spark):
     assert kept == set(range(len(texts))) - {2 * i + 1 for i, s in enumerate(sim) if s >= 0.8}
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Buckets over the bound are dealt out anew and lose no link; texts that share a doc_id, or have none, are told apart."""
+    r = random.Random(14)
+    base = words(150, r).split(" ")
+    rows = []
+    for k in range(24):
+        w = base[:]
+        for at in r.sample(range(len(w)), 1 + k % 6):
+            w[at] = f"changed{k}"
+        rows.append((None if k % 8 == 0 else k // 2, " ".join(w)))
+    rows += [(3, words(80, r)), (None, words(80, r)), rows[5], rows[0]]
+    own = sorted(set((99 if i is None else i, t) for i, t in rows))
+    root = list(range(len(own)))
+    for y in range(len(own)):
+        for x in range(y):
+            if simhash.similarity(own[x][1].encode(), own[y][1].encode(), 5) >= 0.8:
+                lo, hi = sorted((root[x], root[y]))
+                root = [lo if v == hi else v for v in root]
+    want = sorted(own[i] for i in set(root))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bucket in (3, 8192):
+        got = simhash.without_near_copies(df, bucket=bucket).collect()
+        assert sorted((99 if x.doc_id is None else x.doc_id, x.text) for x in got) == want
+
+
+def test_parity_bound_loses_no_similar_pair():
+    r = random.Random(15)
+    for _ in range(300):
+        a = {r.getrandbits(64) for _ in range(r.choice((1, 5, 40, 900)))}
+        b = set(r.sample(sorted(a), max(1, round(len(a) * r.uniform(0.6, 1))))) | {r.getrandbits(64) for _ in range(r.randint(0, len(a) // 5 + 1))}
+        x, y = (np.array([[n, *odd]]) for n, odd in (simhash.parity(np.array(sorted(v), np.uint64)) for v in (a, b)))
+        near = simhash._near_sets(x, y, simhash._differ(0.8))[0, 0]
+        assert near or len(a & b) / len(a | b) < 0.8
+        if len(a) == 900 and len(a & b) / len(a | b) < 0.6:
+            assert not near
+
+
 def test_near_copies_linked_in_steps(spark):
     """1 and 2 are not alike, but both are like 3, which comes last."""
     w = words(200, random.Random(13)).split(" ")
