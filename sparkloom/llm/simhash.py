@@ -376,7 +376,7 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     named = _sketches(marked.select(*ident, "text"), shingle).join(groups.select("node", *ident), ident).drop(*ident)
     rows, p1 = written(named.dropDuplicates(["node"]), "fingerprints")
     sets = rows.select("node", "n", *WORDS)
-    links, tried = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    tried = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     rooted = lambda x: x.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for _ in range(STARS):
@@ -388,8 +388,7 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
         if best.isEmpty():
             break
         good, _ = written(_verified(marked, groups, _possible(best, sets, least), shingle, least), "copies")
-        tried, links = tried.unionAll(best), links.unionAll(good)
-        roots = components(links).toDF("node", "root")
+        tried, roots = tried.unionAll(best), _joined(roots, good)
     members, spare = _members(rooted(rows.select("node", "fp", "bands")), radius, bucket)
     most = 16
     while True:
@@ -400,8 +399,7 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
         if some.isEmpty():
             break
         good, _ = written(_verified(marked, groups, some.select("a", F.explode("b").alias("b")), shingle, least), "copies")
-        links = links.unionAll(good)
-        roots = components(links).toDF("node", "root")
+        roots = _joined(roots, good)
         if some.where("more").isEmpty():
             break
         most *= 16
@@ -416,6 +414,11 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     return out.select(*[F.col(c if c in ("doc_id", "text") else f"__in_{i}").alias(c) for i, c in enumerate(names)])
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components that links (a, b) make of those of roots."""
+    return components(links.unionAll(roots)) if links.count() else roots
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that the bound of parity sketches leaves; it loses none that is similar enough."""
     a, b = sets.toDF("a", "na", *[f"a{w}" for w in WORDS]), sets.toDF("b", "nb", *[f"b{w}" for w in WORDS])
