@@ -122,6 +122,17 @@ def parse_python(p: Parsed) -> None:
                     t = types.get(at or "")
                     p.edge(key, f"?methodcall:{t}.{f.attr}" if t else f"?call:{f.attr}", "calls", x.lineno)
 
+    def members(cls: ast.ClassDef, key: str, scope: str) -> None:
+        """Bases, methods and inner classes of a class, to any depth."""
+        for i, b in enumerate(cls.bases):
+            if n := named(b):
+                p.edge(key, f"?inherits:{i}:{n}", "inherits", cls.lineno)
+        for x in cls.body:
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                body(x, add(x, "method", scope, key), cls)
+            elif isinstance(x, ast.ClassDef):
+                members(x, add(x, "class", scope, key), f"{scope}{x.name}.")
+
     for node in tree.body:
         if isinstance(node, ast.Import):
             for a in node.names:
@@ -133,13 +144,7 @@ def parse_python(p: Parsed) -> None:
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             body(node, add(node, "function", "", None), None)
         elif isinstance(node, ast.ClassDef):
-            key = add(node, "class", "", None)
-            for i, b in enumerate(node.bases):
-                if n := named(b):
-                    p.edge(key, f"?inherits:{i}:{n}", "inherits", node.lineno)
-            for x in node.body:
-                if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    body(x, add(x, "method", f"{node.name}.", key), node)
+            members(node, add(node, "class", "", None), f"{node.name}.")
         elif isinstance(node, ast.Assign) and any(named(t) == "urlpatterns" for t in node.targets):
             for x in ast.walk(node.value):
                 if isinstance(x, ast.Call) and named(x.func) in ("path", "re_path", "url") and len(x.args) > 1 and isinstance(x.args[0], ast.Constant):
