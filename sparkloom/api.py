@@ -33,18 +33,22 @@ class Engine:
         at = Path(self.repo) / ".gitignore"
         return walk.walk(self.spark, self.repo, at.read_text() if at.exists() else "")
 
-    def index(self, force: bool = False, embed: bool = True, aliases: dict[str, str] | None = None) -> dict[str, int]:
-        """Bring the store to the repository's state. Raw edges are made anew from all files, so names that appear later resolve."""
+    def index(self, force: bool = False, embed: bool = True, aliases: dict[str, str] | None = None, paths: list[str] | None = None) -> dict[str, int]:
+        """Bring the store, or only what it has of `paths`, to the repository's state. Changed files are parsed; if there are any, or aliases, edges of all are resolved anew."""
         walked = self._walked().cache()
-        _, raw = parse.entities_and_edges(walked.where("not generated"))
-        done = self.store.index(walked, parse.entities_and_edges, lambda e, _: resolve.resolve(raw, e, walked.select("path"), aliases), force)
+        known = walked.select("path")
+        if paths is not None:
+            known = known.where(F.col("path").isin(paths)).unionAll(self.files.select("path").where(~F.col("path").isin(paths)))
+        done = self.store.index(walked, parse.entities_and_edges, lambda e, raw: resolve.resolve(raw, e, known, aliases), force, paths, aliases is not None)
         walked.unpersist()
         if embed:
             self.embed_drifted()
         self._stale = None
         return done
 
-    reindex = index
+    def reindex(self, paths: list[str] | None = None, **options) -> dict[str, int]:
+        """index() of the named files, those that are no more being deleted; of all without names."""
+        return self.index(paths=paths, **options)
 
     def embed_drifted(self, force: bool = False) -> None:
         new = retrieval.embedded(retrieval.drifted(self.entities, force), self.embed)

@@ -9,6 +9,7 @@ ENTITIES = (
     "parent_id string, hash string, summary string, embedding array<float>, embedding_hash string"
 )
 EDGES = "src_id string, dst_id string, type string, line int, confidence float, is_dynamic boolean"
+RAW_EDGES = f"{EDGES}, file string"
 EDGE_KEY = ["src_id", "dst_id", "type", "line"]
 # Id prefixes of the languages.
 PREFIX = {

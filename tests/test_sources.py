@@ -20,6 +20,15 @@ def test_python_parser():
     assert any(e["src_id"] == "route:GET /users" and e["dst_id"] == "py:api/users.py:users" for e in p.edges)
 
 
+def test_python_classes_within_classes():
+    p = P.parse("n.py", "class Outer:\n    class Inner(Base):\n        class Last:\n            def m(self):\n                self.n()\n        def k(self):\n            pass\n    def o(self):\n        def local():\n            pass\n", "python")
+    by = {e["qualified_name"]: e for e in p.entities}
+    assert set(by) == {"n", "Outer", "Outer.Inner", "Outer.Inner.Last", "Outer.Inner.Last.m", "Outer.Inner.k", "Outer.o"}
+    assert by["Outer.Inner.Last.m"]["type"] == "method" and by["Outer.Inner.Last.m"]["parent_id"] == "py:n.py:Outer.Inner.Last"
+    assert by["Outer.Inner"]["parent_id"] == "py:n.py:Outer" and by["Outer"]["parent_id"] is None
+    assert {("py:n.py:Outer.Inner", "?inherits:0:Base"), ("py:n.py:Outer.Inner.Last.m", "?methodcall:Last.n")} <= {(e["src_id"], e["dst_id"]) for e in p.edges}
+
+
 def test_parsers_never_raise_and_name_what_they_see():
     cases = {
         "go": ("package m\nimport \"fmt\"\ntype S struct { x int }\nfunc (s *S) Run() { fmt.Println() }\nfunc main() {}\n", {"S": "class", "S.Run": "method", "main": "function"}),
