@@ -273,6 +273,71 @@ def _end(p: Parsed, text: str, at: int, g: Grammar) -> int:
     return last
 
 
+_ON = rf"(?<![\w.>:$@])(?P<on>[@$]*{_ID}(?:(?:\.|->){_ID})?)"
+_CALL = rf"(?:{_ON}(?:\.|->|::))?(?P<name>{_ID})\s*\("
+_CALL_RUBY = rf"(?:{_ON}(?:\.|::))?(?P<name>{_ID}[?!]?)(?(on)|\s*\()"
+_CLASS = r"(?P<type>[A-Z]\w*)"
+#: A name that is given an object made on the spot: new T, T(, T{, T::new, T.new.
+_MADE = rf"(?P<name>[@$]*{_ID}(?:(?:\.|->){_ID})?)\s*(?::=|=)\s*&?(?:new\s+)?{_CLASS}(?:\(|::new\b|\.new\b|\{{)"
+#: Declarations of a name with a class, without type arguments.
+_AFTER = rf"(?P<name>{_ID})\s*\??:\s*&?\s*(?:mut\s+)?{_CLASS}(?![\w<\[.:])"
+_BEFORE = rf"\b(?<!new )(?<!return ){_CLASS}(?:\s*[*&]+\s*|\s+)(?P<name>{_ID})\s*(?=[=;,){{])"
+_BESIDE = rf"(?P<name>\b[a-z_]\w*)\s+\*?{_CLASS}\s*(?=[,)\n}}]|$)"
+_DECLARED = {"typescript": _AFTER, "rust": _AFTER, "java": _BEFORE, "php": _BEFORE, "cpp": _BEFORE, "c": _BEFORE, "go": _BESIDE}
+_OWN = ("this", "self")
+
+
+def _receivers(p: Parsed, text: str, owners: list[tuple[int, int, str, str]]) -> Callable[[str, str], str | None]:
+    """known(src, on): the class of what a call in src is made on: this or self, a Go receiver, a local, a parameter or a field."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text)), len(text) + 1]
+    functions = {e["entity_id"]: e for e in p.entities if e["type"] in ("function", "method")}
+    spans = {k: (starts[e["start_line"] - 1], starts[min(e["end_line"], len(starts) - 1)]) for k, e in functions.items()}
+    patterns = [re.compile(x, re.M) for x in (_DECLARED.get(p.language), _MADE) if x]
+    fields: dict[str, dict[str, str]] = {}
+    local: dict[str, dict[str, str]] = {}
+
+    def declared(begin: int, end: int) -> Iterator[tuple[int, str, str]]:
+        for pattern in patterns:
+            for m in pattern.finditer(text, begin, min(end, len(text))):
+                if m["type"] not in _NOT_CALLS:
+                    yield m.start(), re.sub("->", ".", m["name"].replace("$", "")), m["type"]
+
+    def fields_of(cls: str) -> dict[str, str]:
+        """Fields declared outside of functions, and those that a function of the class gives an object made there."""
+        if cls not in fields:
+            out = fields[cls] = {}
+            for begin, end, name, _ in owners:
+                if name != cls:
+                    continue
+                for at, key, t in declared(begin, end):
+                    own = re.match(r"(?:(?:this|self)\.|@+)(\w+)$", key)
+                    if own:
+                        out.setdefault(own[1], t)
+                    elif "." not in key and not any(x <= at < y and x > begin for x, y in spans.values()):
+                        out.setdefault(key, t)
+        return fields[cls]
+
+    def known(src: str, on: str) -> str | None:
+        if not on:
+            return None
+        e = functions.get(src)
+        if src not in local:
+            begin, end = spans.get(src, (0, len(text)))
+            local[src] = {key: t for _, key, t in declared(begin, end) if "." not in key}
+            if e and p.language == "go" and (m := re.match(rf"func\s*\(\s*(\w+)\s+\*?{_CLASS}", text[begin:end])):
+                local[src][m[1]] = m["type"]
+        cls = e["qualified_name"].rpartition(".")[0] if e and e["type"] == "method" else ""
+        first, _, field = on.partition(".")
+        if first.startswith("@"):
+            return fields_of(cls).get(first.lstrip("@")) if cls and not field else None
+        owner = cls if first in _OWN else local[src].get(first)
+        if not field or not owner:
+            return owner or (None if field or not cls else fields_of(cls).get(first) if p.language in ("java", "cpp") else None)
+        return fields_of(owner).get(field)
+
+    return known
+
+
 def parse_by_grammar(p: Parsed) -> None:
     g = GRAMMARS[p.language]
     text = _blanked(p, g)
@@ -318,13 +383,14 @@ def parse_by_grammar(p: Parsed) -> None:
             p.entity("function", name, name, line(m.start(1)), line(_end(p, text, m.start(1), Grammar()) - 1))
     if g.calls:
         spots = {e["start_line"] for e in p.entities if e["type"] in ("function", "method")}
-        types = dict(re.findall(rf"\b({_ID})\s*(?::=|=)\s*(?:new\s+)?([A-Z]\w*)(?:\(|::new|\.new\b|\{{)", text))
-        for m in re.compile(rf"(?:(?P<on>{_ID})(?:\.|->|::))?(?P<name>{_ID})\s*\(").finditer(text):
+        known = _receivers(p, text, owners)
+        for m in re.compile(_CALL_RUBY if p.language == "ruby" else _CALL, re.M).finditer(text):
             n = line(m.start())
             if m["name"] in _NOT_CALLS or n in spots and re.search(rf"\b(?:function|fn|def|func|void|int)\b.*{re.escape(m['name'])}", p.lines[n - 1]) or m.start("name") in taken:
                 continue
-            t = types.get(m["on"] or "")
-            p.edge(p.enclosing(n), f"?methodcall:{t}.{m['name']}" if t else f"?call:{m['name']}", "calls", n)
+            src = p.enclosing(n)
+            t = known(src, re.sub(r"->|::", ".", (m["on"] or "").replace("$", "")))
+            p.edge(src, f"?methodcall:{t}.{m['name']}" if t else f"?call:{m['name']}", "calls", n)
     _routes(p)
 
 

@@ -29,6 +29,43 @@ def test_python_classes_within_classes():
     assert {("py:n.py:Outer.Inner", "?inherits:0:Base"), ("py:n.py:Outer.Inner.Last.m", "?methodcall:Last.n")} <= {(e["src_id"], e["dst_id"]) for e in p.edges}
 
 
+def test_receivers_of_calls():
+    cases = [  # language, source, function, what it calls
+        ("typescript", "class W {\n  render() {}\n  draw() {\n    this.render();\n  }\n}\n", "W.draw", "?methodcall:W.render"),
+        ("typescript", "class S {\n  notify() {}\n}\nclass C {\n  use(svc: S) {\n    svc.notify();\n  }\n}\n", "C.use", "?methodcall:S.notify"),
+        ("typescript", "class S {\n  save() {}\n}\nclass C {\n  private svc: S;\n  run() {\n    this.svc.save();\n  }\n}\n", "C.run", "?methodcall:S.save"),
+        ("typescript", "class C {\n  use(svc: List<S>) {\n    svc.notify();\n  }\n}\n", "C.use", "?call:notify"),
+        ("java", "class S {\n  void save() {}\n}\nclass C {\n  private S svc;\n  void run() {\n    this.svc.save();\n  }\n}\n", "C.run", "?methodcall:S.save"),
+        ("java", "class C {\n  void use(S svc) {\n    svc.go();\n  }\n}\n", "C.use", "?methodcall:S.go"),
+        ("java", "class C {\n  void use() {\n    var svc = new S();\n    svc.go();\n  }\n}\n", "C.use", "?methodcall:S.go"),
+        ("go", "package m\ntype W struct{}\nfunc (w *W) Render() {}\nfunc (w *W) Draw() {\n    w.Render()\n}\n", "W.Draw", "?methodcall:W.Render"),
+        ("go", "package m\nfunc use() {\n    lg := &L{}\n    lg.Log()\n}\n", "use", "?methodcall:L.Log"),
+        ("go", "package m\nfunc use(svc *S) {\n    svc.Go()\n}\n", "use", "?methodcall:S.Go"),
+        ("go", "package m\ntype C struct {\n    svc *S\n}\nfunc (c *C) Run() {\n    c.svc.Save()\n}\n", "C.Run", "?methodcall:S.Save"),
+        ("rust", "struct W;\nimpl W {\n    fn render(&self) {}\n    fn draw(&self) {\n        self.render();\n    }\n}\n", "W.draw", "?methodcall:W.render"),
+        ("rust", "fn use_it() {\n    let lg = L::new();\n    lg.log();\n}\n", "use_it", "?methodcall:L.log"),
+        ("rust", "fn use_it(svc: &S) {\n    svc.notify();\n}\n", "use_it", "?methodcall:S.notify"),
+        ("rust", "struct C {\n    svc: S,\n}\nimpl C {\n    fn run(&self) {\n        self.svc.save();\n    }\n}\n", "C.run", "?methodcall:S.save"),
+        ("php", "<?php\nclass C {\n    private S $svc;\n    function run() {\n        $this->svc->save();\n    }\n}\n", "C.run", "?methodcall:S.save"),
+        ("php", "<?php\nclass C {\n    function use(S $svc) {\n        $svc->notify();\n    }\n}\n", "C.use", "?methodcall:S.notify"),
+        ("php", "<?php\nfunction use_it() {\n    $lg = new L();\n    $lg->log();\n}\n", "use_it", "?methodcall:L.log"),
+        ("ruby", "class W\n  def render\n  end\n  def draw\n    self.render\n  end\nend\n", "W.draw", "?methodcall:W.render"),
+        ("ruby", "class C\n  def initialize\n    @svc = S.new\n  end\n  def run\n    @svc.save\n  end\nend\n", "C.run", "?methodcall:S.save"),
+        ("ruby", "def use_it\n  y = Server.create('x')\n  y.run\nend\n", "use_it", "?call:run"),
+        ("cpp", "class W {\npublic:\n    void Render() {}\n    void Draw() {\n        this->Render();\n    }\n};\n", "W.Draw", "?methodcall:W.Render"),
+        ("cpp", "void use_it() {\n    L* lg = new L();\n    lg->Log();\n}\n", "use_it", "?methodcall:L.Log"),
+        ("cpp", "class C {\npublic:\n    void Use(S* svc) {\n        svc->Notify();\n    }\n};\n", "C.Use", "?methodcall:S.Notify"),
+        ("cpp", "class C {\npublic:\n    void Run() {\n        this->svc->Save();\n    }\nprivate:\n    S* svc;\n};\n", "C.Run", "?methodcall:S.Save"),
+        ("cpp", "void use_it() {\n    int x = get_thing();\n    x.process();\n}\n", "use_it", "?call:process"),
+    ]
+    for language, src, fn, want in cases:
+        p = P.parse("d/f.x", src, language)
+        got = {(e["src_id"].split(":")[-1], e["dst_id"]) for e in p.edges if e["type"] == "calls"}
+        assert not p.errors and (fn, want) in got, (language, src, p.errors, got)
+        other = f"?call:{want.rpartition('.')[2]}" if "methodcall" in want else "?methodcall:"
+        assert not any(s == fn and d.startswith(other) for s, d in got), (language, src, got)
+
+
 def test_parsers_never_raise_and_name_what_they_see():
     cases = {
         "go": ("package m\nimport \"fmt\"\ntype S struct { x int }\nfunc (s *S) Run() { fmt.Println() }\nfunc main() {}\n", {"S": "class", "S.Run": "method", "main": "function"}),
