@@ -22,8 +22,6 @@ LEVELS = 6
 BANDS, DEPTH = 16, 4
 #: Rounds in which texts are tried against heads of their buckets only, before candidates are sought among all members.
 STARS = 2
-#: Times a large bucket of the pipeline's stage is dealt out anew; then it is compared block by block whatever its size.
-SPLITS = 2
 #: Bits of the parity sketch of a text's shingles, and the columns of 64 bits that hold it.
 PARITY = 1024
 WORDS = [f"w{i}" for i in range(PARITY // 64)]
@@ -297,24 +295,9 @@ def _partners(table: DataFrame, most: int, least: float) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, radius: int) -> DataFrame:
-    """(node, root, band, key) of rows (node, fp, bands, root) for each mask (band -1) and band."""
-    each = [F.struct(F.lit(-1).alias("band"), F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))).alias("key")) for j, x in enumerate(masks(radius))]
-    banded = F.transform("bands", lambda x, i: F.struct(i.alias("band"), x.alias("key")))
-    return rows.select("node", "root", F.inline(F.concat(F.array(*each), banded)))
-
-
-def _split(rows: DataFrame, radius: int, turn: int) -> DataFrame:
-    """Rows (node, root, band, key, fp, bands) of large buckets dealt out within them: by other masks, or by each later band.
-
-    Of a pair that shares several bands each two of them, in their order, make a
-    bucket; so it is enough to look at later bands.
-    """
-    each = [
-        F.struct(F.lit(-1).alias("band"), F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))).alias("key"))
-        for j, x in enumerate(masks(radius, turn))
-    ]
-    later = F.filter(F.transform("bands", lambda x, i: F.struct(i.alias("band"), F.xxhash64("key", i, x).alias("key"))), lambda s: s["band"] > F.col("band"))
-    return rows.select("node", "root", F.inline(F.when(F.col("band") < 0, F.array(*each)).otherwise(later)))
+    """(node, root, key) of rows (node, fp, bands, root) for each mask and band."""
+    each = [F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long"))) for j, x in enumerate(masks(radius))]
+    return rows.select("node", "root", F.explode(F.concat(F.array(*each), "bands")).alias("key"))
 
 
 def _mixed(keyed: DataFrame) -> tuple[DataFrame, bool]:
@@ -324,20 +307,19 @@ def _mixed(keyed: DataFrame) -> tuple[DataFrame, bool]:
     return mixed, mixed.count() <= BROADCAST_ROWS
 
 
-def _members(rows: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, list[str]]:
-    """(key, node) of the buckets with rows of different roots; those of over `bucket` rows dealt out anew, up to SPLITS times."""
-    keyed, out, paths = _keyed(rows, radius), None, []
-    for turn in range(1, SPLITS + 2):
-        heads, few = _mixed(keyed)
-        joined = keyed.join(F.broadcast(heads) if few else heads, "key").select("key", "node", "root", "band", (F.col("rows") > bucket).alias("large"))
-        table, path = written(joined, "buckets")
-        paths.append(path)
-        last = turn > SPLITS or table.where("large").isEmpty()
-        part = (table if last else table.where("not large")).select("key", "node")
-        out = part if out is None else out.unionAll(part)
-        if last:
-            return out, paths
-        keyed = _split(table.where("large").join(rows.select("node", "fp", "bands"), "node"), radius, turn)
+def _members(rows: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, str]:
+    """(key, node) of the buckets with rows of different roots; of those of over `bucket` rows each two blocks are a bucket.
+
+    A hash deals such a bucket's rows to blocks of about `bucket` rows, so every two
+    of its rows still meet, and a task holds two blocks at once, not the bucket.
+    """
+    keyed = _keyed(rows, radius)
+    heads, few = _mixed(keyed)
+    joined = keyed.join(F.broadcast(heads) if few else heads, "key").select("key", "node", F.ceil(F.col("rows") / bucket).alias("blocks"))
+    own = joined.select("*", F.pmod(F.xxhash64("node"), "blocks").alias("own"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: i != F.col("own"))
+    pairs = F.transform(others, lambda i: F.xxhash64("key", F.least("own", i), F.greatest("own", i)))
+    return written(own.select(F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array("key"))).alias("key"), "node"), "buckets")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, bucket: int = 2 * BUCKET) -> DataFrame:
@@ -359,7 +341,8 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
     root, without pairs of its members, and buckets of one root are done. Then texts
     of the buckets that are left are checked against more and more members of
     other roots, until none is left unchecked. Of these buckets, those of over
-    `bucket` texts are dealt out by further masks and bands first.
+    `bucket` texts are compared by pairs of blocks, each pair on its own: no bucket
+    is cut, whatever its size.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -410,7 +393,7 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, r
         twice = marked.select(*ident).groupBy(*ident).count().where("count > 1")
         if not twice.isEmpty():
             out = out.dropDuplicates(ident)
-    removed(spark, p1, *spare)
+    removed(spark, p1, spare)
     return out.select(*[F.col(c if c in ("doc_id", "text") else f"__in_{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -220,6 +220,35 @@ def test_near_copies_in_large_buckets(spark):
         assert sorted((99 if x.doc_id is None else x.doc_id, x.text) for x in got) == want
 
 
+def test_near_copies_in_large_buckets_of_one_band(spark):
+    """Pairs whose only bucket is that of one band, which holds many other texts, meet whatever the bound of a bucket."""
+    rows = []
+    for seed in (181, 409, 1296, 2389, 2682, 3468, 4851, 5008):
+        r = random.Random(seed)
+        word = lambda: f"{r.choice('bcdfgklmnprst')}{r.randrange(10**6)}"
+        w = [word() for _ in range(94)]
+        x = " ".join(w)
+        w[r.randint(10, 40)] = w[r.randint(50, 80)] = "changed"
+        y = " ".join(w)
+        h, other = (simhash._hashes(t.encode().split(), 5) for t in (x, y))
+        keys = simhash.bands(h)
+        (band,) = np.flatnonzero(keys == simhash.bands(other))
+        differ = simhash.fingerprint(x.encode(), 5) ^ simhash.fingerprint(y.encode(), 5)
+        assert all(differ & m for m in simhash.masks(4)) and simhash.similarity(x.encode(), y.encode(), 5) >= 0.8
+        least = [int(np.argmin(h * simhash._TIMES[k] + simhash._PLUS[k])) for k in range(band * simhash.DEPTH, (band + 1) * simhash.DEPTH)]
+        others = []
+        while len(others) < 6:  # the least shingles of the band between other words
+            t = " ".join(" ".join([*x.split(" ")[at : at + 5], word(), word()]) for at in least)
+            if simhash.bands(simhash._hashes(t.encode().split(), 5))[band] == keys[band]:
+                others.append(t)
+        rows += [x, y, *others]
+    want = [i for i in range(len(rows)) if not any(simhash.similarity(rows[j].encode(), rows[i].encode(), 5) >= 0.8 for j in range(i))]
+    assert len(want) == len(rows) - 8
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for bucket in (1, 3, 8192):
+        assert sorted(x.doc_id for x in simhash.without_near_copies(df, bucket=bucket).collect()) == want
+
+
 def test_parity_bound_loses_no_similar_pair():
     r = random.Random(15)
     for _ in range(300):
