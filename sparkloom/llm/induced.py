@@ -330,7 +330,7 @@ class Sorter:
                 tied = ~new
                 tied[:-1] |= ~new[1:]
                 tied[-1] |= after is not None and after[0] == rows[-1, 0] and after[1] == rows[-1, 1]
-                longer = tied & (rows[:, 3] >= 0)
+                longer = tied & (rows[:, 3] >= -1)  # one that ends with the number may tie with one that goes on
                 repeated |= bool((tied & ~longer).any())
                 ties.append(np.stack([rank[longer], rows[longer, 2]], axis=1))
                 pos, start, first, before = pos + len(rows), int(starts[-1]), int(firsts[-1]), rows[-1]

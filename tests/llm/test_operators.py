@@ -451,6 +451,15 @@ def test_induced_sorting(monkeypatch):
         assert got == list(zip(order, shared))
 
 
+def test_induced_sorting_of_substrings_that_end_with_a_number():
+    """Three symbols fit a number here; a substring of three comes after a longer one that begins with it."""
+    r = random.Random(3)
+    for _ in range(100):
+        t = np.array([*[r.randint(1, 4) for _ in range(r.randint(10, 60))], 1 << 20, 0])
+        got = [p for x, _ in induced.Sorter(t, 100).order() for p in x.tolist()]
+        assert got == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
 def test_disk_queue_keeps_order():
     q = induced.BucketQueue(2, memory=10)
     for i in range(0, 90, 3):
