@@ -22,6 +22,11 @@ SCRIPT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts",
 RUST_OUTSIDE = ["std::", "core::", "alloc::", "proc_macro::", "test::"]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides: sizes are estimated from files, so a side may be broadcast that is far too large for the driver."""
+    return df.hint("merge")
+
+
 def unique_names(entities: DataFrame, column: str = "name") -> DataFrame:
     """(column, id, n): how many entities have the name, and the smallest id; names of modules count as well."""
     return entities.groupBy(column).agg(F.min("entity_id").alias("id"), F.count(F.lit(1)).alias("n"))
@@ -37,7 +42,7 @@ def best(edges: DataFrame, candidates: list[DataFrame], fallback: Column, confid
     """edges (with a key `edge`) with dst_id and confidence of the candidate (edge, priority, id, conf) of least priority, else the fallback."""
     all_rows = reduce(DataFrame.unionByName, [c.select("edge", "priority", "id", F.col("conf").cast("double").alias("conf")) for c in candidates])
     chosen = all_rows.groupBy("edge").agg(F.min(F.struct("priority", "id", "conf")).alias("c"))
-    out = edges.join(chosen, "edge", "left")
+    out = edges.join(shuffled(chosen), "edge", "left")
     return out.withColumn("dst_id", F.coalesce("c.id", fallback)).withColumn("confidence", F.coalesce("c.conf", F.lit(confidence))).drop("c")
 
 
@@ -49,8 +54,8 @@ def inherits(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Base classes ?inherits:<n>:<Base> of (edge, src_id, dst_id, file): of the same file .9, the only one of that name .7, else external .5."""
     e = edges.withColumn("base", F.element_at(F.split("dst_id", ":", 3), -1))
     own = entities.where("type in ('class', 'interface')")
-    same = e.join(by_file_name(own).withColumnRenamed("name", "base"), ["file", "base"])
-    sole = e.join(unique_names(own).where("n = 1").withColumnRenamed("name", "base"), "base")
+    same = e.join(shuffled(by_file_name(own).withColumnRenamed("name", "base")), ["file", "base"])
+    sole = e.join(shuffled(unique_names(own).where("n = 1").withColumnRenamed("name", "base")), "base")
     return best(e, [_cand(same, 1, 0.9), _cand(sole, 2, 0.7)], F.concat(F.lit("external:"), "base")).drop("base")
 
 
@@ -77,12 +82,12 @@ def python_imports(edges: DataFrame, entities: DataFrame, files: DataFrame) -> D
     e = edges.withColumn("q", F.regexp_replace("dst_id", r"^py:\?:", ""))
     e = e.withColumn("head", F.regexp_replace("q", r"\.[^.]*$", "")).withColumn("last", F.element_at(F.split("q", r"\."), -1))
     module = entities.where("type = 'module'").groupBy("file").agg(F.min("entity_id").alias("id"))
-    exact = module_names(files).select("qname", "path").join(module.withColumnRenamed("file", "path"), "path")
-    suffix = suffix_names(files).join(module.withColumnRenamed("file", "path"), "path")
+    exact = module_names(files).select("qname", "path").join(shuffled(module.withColumnRenamed("file", "path")), "path")
+    suffix = suffix_names(files).join(shuffled(module.withColumnRenamed("file", "path")), "path")
     names = by_file_name(entities).select(F.col("file").alias("path"), F.col("name").alias("last"), F.col("id").alias("own"))
-    on = lambda m, c: e.where("last != '*'").join(m.withColumnRenamed("qname", c), c)
-    star = e.where("last = '*'").join(exact.unionByName(suffix).groupBy("qname").agg(F.min("path").alias("path")).withColumnRenamed("qname", "head"), "head").withColumn("id", F.concat(F.lit("wildcard:py:"), "path"))
-    parts = [_cand(star, 1, 0.7), _cand(on(exact, "q"), 2, 1.0), _cand(on(suffix, "q"), 3, 0.8), _cand(on(exact, "head").drop("id").join(names, ["path", "last"]), 4, 1.0, "own"), _cand(on(suffix, "head").drop("id").join(names, ["path", "last"]), 5, 0.8, "own")]
+    on = lambda m, c: e.where("last != '*'").join(shuffled(m.withColumnRenamed("qname", c)), c)
+    star = e.where("last = '*'").join(shuffled(exact.unionByName(suffix).groupBy("qname").agg(F.min("path").alias("path")).withColumnRenamed("qname", "head")), "head").withColumn("id", F.concat(F.lit("wildcard:py:"), "path"))
+    parts = [_cand(star, 1, 0.7), _cand(on(exact, "q"), 2, 1.0), _cand(on(suffix, "q"), 3, 0.8), _cand(on(exact, "head").drop("id").join(shuffled(names), ["path", "last"]), 4, 1.0, "own"), _cand(on(suffix, "head").drop("id").join(shuffled(names), ["path", "last"]), 5, 0.8, "own")]
     return best(e, parts, F.concat(F.lit("external:"), "q")).drop("q", "head", "last")
 
 
@@ -98,10 +103,10 @@ def relative_imports(edges: DataFrame, entities: DataFrame, files: DataFrame) ->
     e = e.withColumn("head", F.regexp_replace("q", r"\.?[^.]*$", "")).withColumn("last", F.element_at(F.split("q", r"\."), -1))
     module = entities.where("type = 'module'").groupBy("file").agg(F.min("entity_id").alias("id"))
     whole = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", ""), "/", ".")
-    exact = files.select(whole.alias("qname"), "path").join(module.withColumnRenamed("file", "path"), "path")
+    exact = files.select(whole.alias("qname"), "path").join(shuffled(module.withColumnRenamed("file", "path")), "path")
     names = by_file_name(entities).select(F.col("file").alias("path"), F.col("name").alias("last"), F.col("id").alias("own"))
-    mod = e.join(exact.withColumnRenamed("qname", "q"), "q")
-    name = e.join(exact.drop("id").withColumnRenamed("qname", "head"), "head").join(names, ["path", "last"])
+    mod = e.join(shuffled(exact.withColumnRenamed("qname", "q")), "q")
+    name = e.join(shuffled(exact.drop("id").withColumnRenamed("qname", "head")), "head").join(shuffled(names), ["path", "last"])
     return best(e, [_cand(mod, 1, 1.0), _cand(name, 2, 1.0, "own")], F.concat(F.lit("external:rel"), F.col("n").cast("string"), F.lit("."), "rest")).drop("keep", "rest", "n", "q", "head", "last")
 
 
@@ -125,15 +130,15 @@ def script_imports(edges: DataFrame, entities: DataFrame, files: DataFrame, alia
     near = F.concat(F.regexp_replace("file", "[^/]*$", ""), F.col("spec"))
     e = e.withColumn("to", normal_path(F.when(F.col("spec").startswith("."), near).otherwise(mapped)))
     tried = e.where("to is not null").select("edge", "name", F.posexplode(F.array(*[F.concat("to", F.lit(x)) for x in SCRIPT_ENDINGS])).alias("nth", "path"))
-    hit = tried.join(files.select("path"), "path").groupBy("edge", "name").agg(F.min(F.struct("nth", "path")).alias("h")).select("edge", "name", F.col("h.path").alias("path"))
+    hit = tried.join(shuffled(files.select("path")), "path").groupBy("edge", "name").agg(F.min(F.struct("nth", "path")).alias("h")).select("edge", "name", F.col("h.path").alias("path"))
     own = by_file_name(entities).withColumnRenamed("file", "path")
     sole = entities.where("is_exported and type != 'module'").groupBy(F.col("file").alias("path")).agg(F.min("entity_id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     module = entities.where("type = 'module'").groupBy(F.col("file").alias("path")).agg(F.min("entity_id").alias("id"))
     parts = [
         _cand(hit.where("name = '*'").withColumn("id", F.concat(F.lit("wildcard:ts:"), "path")), 1, 0.7),
-        _cand(hit.where("name not in ('*', 'default')").join(own, ["path", "name"]), 2, 1.0),
-        _cand(hit.where("name = 'default'").join(sole, "path"), 3, 0.8),
-        _cand(hit.where("name = 'default'").join(module, "path"), 4, 0.7),
+        _cand(hit.where("name not in ('*', 'default')").join(shuffled(own), ["path", "name"]), 2, 1.0),
+        _cand(hit.where("name = 'default'").join(shuffled(sole), "path"), 3, 0.8),
+        _cand(hit.where("name = 'default'").join(shuffled(module), "path"), 4, 0.7),
     ]
     return best(e, parts, F.concat(F.lit("external:"), "spec")).drop("spec", "name", "to")
 
@@ -157,19 +162,19 @@ def path_imports(edges: DataFrame, entities: DataFrame, files: DataFrame) -> Dat
         .otherwise(F.array().cast("array<string>"))
     )
     module = entities.where("type = 'module'").groupBy(F.col("file").alias("path")).agg(F.min("entity_id").alias("id"))
-    hit = e.select("edge", F.posexplode(tried).alias("nth", "path")).join(module, "path").select("edge", (F.col("nth") + 1).alias("priority"), "id", F.lit(0.9).alias("conf"))
+    hit = e.select("edge", F.posexplode(tried).alias("nth", "path")).join(shuffled(module), "path").select("edge", (F.col("nth") + 1).alias("priority"), "id", F.lit(0.9).alias("conf"))
     go = files.where("path like '%.go'").select(F.regexp_extract("path", "([^/]+)/[^/]*$", 1).alias("dir"), "path").groupBy("dir").agg(F.min("path").alias("path"))
-    gone = e.where("lang = 'go'").withColumn("dir", F.element_at(F.split("spec", "/"), -1)).join(go, "dir").join(module, "path")
+    gone = e.where("lang = 'go'").withColumn("dir", F.element_at(F.split("spec", "/"), -1)).join(shuffled(go), "dir").join(shuffled(module), "path")
     return best(e, [hit, _cand(gone, 1, 0.9)], F.concat(F.lit("external:"), "spec")).drop("lang", "spec")
 
 
 def calls(edges: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
     """?call:<name> of (edge, file, lang, dst_id): the same file 1.0, a name the file imports (file, name, id) .9, the same Java package .85, else external .5."""
     e = edges.withColumn("name", F.regexp_replace("dst_id", r"^\?call:", "")).withColumn("dir", F.regexp_replace("file", "/[^/]*$", ""))
-    same = e.join(by_file_name(entities), ["file", "name"])
-    known = e.join(imports.groupBy("file", "name").agg(F.min("id").alias("id")), ["file", "name"])
+    same = e.join(shuffled(by_file_name(entities)), ["file", "name"])
+    known = e.join(shuffled(imports.groupBy("file", "name").agg(F.min("id").alias("id"))), ["file", "name"])
     java = entities.where("language = 'java' and is_exported and type != 'module'").groupBy(F.regexp_replace("file", "/[^/]*$", "").alias("dir"), "name").agg(F.min("entity_id").alias("id"))
-    package = e.where("lang = 'java'").join(java, ["dir", "name"])
+    package = e.where("lang = 'java'").join(shuffled(java), ["dir", "name"])
     return best(e, [_cand(same, 1, 1.0), _cand(known, 2, 0.9), _cand(package, 3, 0.85)], F.concat(F.lit("external:"), "name")).drop("name", "dir")
 
 
@@ -183,16 +188,16 @@ def method_calls(edges: DataFrame, entities: DataFrame, imports: DataFrame, base
     methods = entities.where("type in ('method', 'function')")
     counted = unique_names(methods, "qualified_name").withColumnRenamed("qualified_name", "q")
     in_file = methods.groupBy(F.col("qualified_name").alias("q"), "file").agg(F.min("entity_id").alias("own"))
-    parts = [_cand(e.join(counted.where("n = 1"), "q"), 1, 0.9), _cand(e.join(counted.where(f"n <= {AMBIGUOUS}").select("q"), "q").join(in_file, ["q", "file"]), 2, 0.9, "own")]
+    parts = [_cand(e.join(shuffled(counted.where("n = 1")), "q"), 1, 0.9), _cand(e.join(shuffled(counted.where(f"n <= {AMBIGUOUS}").select("q")), "q").join(shuffled(in_file), ["q", "file"]), 2, 0.9, "own")]
     at = e.select("edge", "file", "name", "cls")
     for d in range(1, levels + 1):
-        at = cut(at.join(bases, "cls").select("edge", "file", "name", F.col("base").alias("cls")).distinct())
+        at = cut(at.join(shuffled(bases), "cls").select("edge", "file", "name", F.col("base").alias("cls")).distinct())
         if at.isEmpty():
             break
         q = at.withColumn("q", F.concat_ws(".", "cls", "name"))
-        parts += [_cand(q.join(counted.where("n = 1"), "q"), 2 + d, 0.8), _cand(q.join(in_file, ["q", "file"]), 2 + d, 0.8, "own")]
-    same = e.join(by_file_name(entities), ["file", "name"])
-    known = e.join(imports.groupBy("file", "name").agg(F.min("id").alias("id")), ["file", "name"])
+        parts += [_cand(q.join(shuffled(counted.where("n = 1")), "q"), 2 + d, 0.8), _cand(q.join(shuffled(in_file), ["q", "file"]), 2 + d, 0.8, "own")]
+    same = e.join(shuffled(by_file_name(entities)), ["file", "name"])
+    known = e.join(shuffled(imports.groupBy("file", "name").agg(F.min("id").alias("id"))), ["file", "name"])
     parts += [_cand(same, 20, 1.0), _cand(known, 21, 0.9)]
     return best(e, parts, F.concat(F.lit("external:"), "name")).drop("q", "cls", "name")
 
@@ -201,23 +206,23 @@ def route_handlers(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """route:?handler:<name>: the only entity of that name, else external:route_handler:<name>; .5 and dynamic."""
     e = edges.withColumn("name", F.regexp_replace("dst_id", r"^route:\?handler:", ""))
     sole = unique_names(entities.where("type in ('function', 'method')")).where("n = 1")
-    return best(e, [_cand(e.join(sole, "name"), 1, 0.5)], F.concat(F.lit("external:route_handler:"), "name")).withColumn("is_dynamic", F.lit(True)).drop("name")
+    return best(e, [_cand(e.join(shuffled(sole), "name"), 1, 0.5)], F.concat(F.lit("external:route_handler:"), "name")).withColumn("is_dynamic", F.lit(True)).drop("name")
 
 
 def http_calls(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """route:?http:<M>:<path>: the handler if exactly one edge of that route leads inside, else external:http_route:<M>:<path>; .5 and dynamic."""
     e = edges.withColumn("route", F.concat(F.lit("route:"), F.regexp_extract("dst_id", r"^route:\?http:([^:]*):", 1), F.lit(" "), F.regexp_replace("dst_id", r"^route:\?http:[^:]*:", "")))
     sole = resolved.where("src_id like 'route:%' and dst_id not like 'external:%'").groupBy(F.col("src_id").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.min("dst_id").alias("id")).where("n = 1")
-    return best(e, [_cand(e.join(sole, "route"), 1, 0.5)], F.regexp_replace("dst_id", r"^route:\?http:", "external:http_route:")).withColumn("is_dynamic", F.lit(True)).drop("route")
+    return best(e, [_cand(e.join(shuffled(sole), "route"), 1, 0.5)], F.regexp_replace("dst_id", r"^route:\?http:", "external:http_route:")).withColumn("is_dynamic", F.lit(True)).drop("route")
 
 
 def containing(calls_at: DataFrame, entities: DataFrame) -> DataFrame:
     """(edge, entity_id): the smallest function or method around a line (edge, file, line), else the file's module."""
     e = entities.withColumn("size", F.col("end_line") - F.col("start_line"))
-    inner = calls_at.join(e.where("type in ('function', 'method')"), "file").where("line between start_line and end_line")
+    inner = calls_at.join(shuffled(e.where("type in ('function', 'method')")), "file").where("line between start_line and end_line")
     got = inner.groupBy("edge").agg(F.min(F.struct("size", "entity_id")).alias("m")).select("edge", F.col("m.entity_id").alias("inner"))
     module = entities.where("type = 'module'").groupBy("file").agg(F.min("entity_id").alias("module"))
-    return calls_at.join(got, "edge", "left").join(module, "file", "left").select("edge", F.coalesce("inner", "module").alias("entity_id"))
+    return calls_at.join(shuffled(got), "edge", "left").join(shuffled(module), "file", "left").select("edge", F.coalesce("inner", "module").alias("entity_id"))
 
 
 def resolve(raw: DataFrame, entities: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -230,7 +235,7 @@ def resolve(raw: DataFrame, entities: DataFrame, files: DataFrame, aliases: dict
     done_inherits = cut(inherits(e.where(d.startswith("?inherits:")), entities))
     imported = [python_imports(e.where(d.startswith("py:?:")), entities, files), relative_imports(e.where(d.startswith("py:?rel")), entities, files), script_imports(e.where(d.rlike(r"^(ts|js):\?:")), entities, files, aliases), path_imports(e.where(d.rlike(r"^(go|rs|java|rb|php|c|cpp|kt|scala|html):\?:")), entities, files)]
     done_imports = cut(reduce(DataFrame.unionByName, map(take, imported)))
-    table = done_imports.join(entities.select(F.col("entity_id").alias("dst_id"), "name"), "dst_id").select("file", "name", F.col("dst_id").alias("id"))
+    table = done_imports.join(shuffled(entities.select(F.col("entity_id").alias("dst_id"), "name")), "dst_id").select("file", "name", F.col("dst_id").alias("id"))
     last = lambda c: F.element_at(F.split(c, r"[:.]"), -1)
     bases = done_inherits.select(last("src_id").alias("cls"), last("dst_id").alias("base")).distinct()
     done_calls = [calls(e.where(d.startswith("?call:")), entities, table), method_calls(e.where(d.startswith("?methodcall:")), entities, table, bases)]

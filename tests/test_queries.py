@@ -21,3 +21,12 @@ def test_vector_ids_of_five_digits_are_cut_as_in_sql(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 0), (9, [0.0, 1.0], 0), (12345, [1.0, 0.5], 1), (12346, [1.0, 0.25], 1)]
     pd.DataFrame(rows, columns=["vec_id", "embedding", "label"]).to_parquet(tmp_path / "embeddings.parquet")
     assert "v1234" in dict(same_as_sql(spark, tmp_path, "vector_topk"))
+
+
+def broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.strip() for x in plan.splitlines() if "BroadcastHashJoin" in x]
+
+
+def test_resolution_of_imports_broadcasts_no_table(spark):
+    assert not broadcasts(catalog.queries()["resolve_py_import"](spark, "/root/testdata/sf0.001"))
