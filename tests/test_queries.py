@@ -30,3 +30,7 @@ def broadcasts(df):
 
 def test_resolution_of_imports_broadcasts_no_table(spark):
     assert not broadcasts(catalog.queries()["resolve_py_import"](spark, "/root/testdata/sf0.001"))
+
+
+def test_resolution_figures_broadcast_no_table(spark):
+    assert not broadcasts(catalog.queries()["resolution_stats"](spark, "/root/testdata/sf0.001"))
