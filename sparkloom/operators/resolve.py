@@ -217,12 +217,25 @@ def http_calls(edges: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def containing(calls_at: DataFrame, entities: DataFrame) -> DataFrame:
-    """(edge, entity_id): the smallest function or method around a line (edge, file, line), else the file's module."""
-    e = entities.withColumn("size", F.col("end_line") - F.col("start_line"))
-    inner = calls_at.join(shuffled(e.where("type in ('function', 'method')")), "file").where("line between start_line and end_line")
-    got = inner.groupBy("edge").agg(F.min(F.struct("size", "entity_id")).alias("m")).select("edge", F.col("m.entity_id").alias("inner"))
+    """(edge, entity_id): the smallest function or method around a line (edge, file, line), else the file's module.
+
+    A range of lines is cut into the fewest blocks of 2^level lines that begin at
+    multiples of their size, two of a level at most. The best of each block is
+    found first; a line then looks into its one block of each level.
+    """
+    own = entities.where("type in ('function', 'method')").select("file", F.col("start_line").cast("long").alias("lo"), (F.col("end_line").cast("long") + 1).alias("hi"), "entity_id").where("lo < hi")
+    own = own.groupBy("file", "lo", "hi").agg(F.min("entity_id").alias("id"))
+    low, high = "-shiftright(-lo, k)", "shiftright(hi, k)"  # whole blocks of level k within the range
+    cuts = f"transform(sequence(0, CAST(log2(hi - lo) AS INT) + 1), k -> array(CASE WHEN {low} < {high} AND {low} & 1 = 1 THEN struct(k AS level, {low} AS block) END, CASE WHEN {low} < {high} AND {high} & 1 = 1 THEN struct(k AS level, {high} - 1 AS block) END))"
+    blocks = own.select("file", (F.col("hi") - F.col("lo")).alias("size"), "id", F.explode(F.expr(f"filter(flatten({cuts}), x -> x IS NOT NULL)")).alias("b"))
+    best_of = blocks.groupBy("file", "b.level", "b.block").agg(F.min(F.struct("size", "id")).alias("m"))
+    levels = best_of.groupBy("file").agg(F.collect_set("level").alias("levels"))
+    at = calls_at.select("file", "line").distinct().join(shuffled(levels), "file")
+    at = at.select("file", "line", F.explode("levels").alias("level")).withColumn("block", F.expr("shiftright(CAST(line AS BIGINT), level)"))
+    got = at.join(shuffled(best_of), ["file", "level", "block"]).groupBy("file", "line").agg(F.min("m").alias("m"))
     module = entities.where("type = 'module'").groupBy("file").agg(F.min("entity_id").alias("module"))
-    return calls_at.join(shuffled(got), "edge", "left").join(shuffled(module), "file", "left").select("edge", F.coalesce("inner", "module").alias("entity_id"))
+    found = calls_at.join(shuffled(got), ["file", "line"], "left").join(shuffled(module), "file", "left")
+    return found.groupBy("edge").agg(F.min("m").alias("m"), F.min("module").alias("module")).select("edge", F.coalesce("m.id", "module").alias("entity_id"))
 
 
 def resolve(raw: DataFrame, entities: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

@@ -170,7 +170,7 @@ def resolution_stats(spark, d):
 
 def containing_entity(spark, d):
     e = A.entities(spark, d)
-    at = e.where("type = 'method'").select(F.xxhash64("entity_id").alias("edge"), "file", (F.col("start_line") + 3).alias("line"))
+    at = e.where("type = 'method'").select(F.col("entity_id").alias("edge"), "file", (F.col("start_line") + 3).alias("line"))
     return R.containing(at, e).groupBy("entity_id").count()
 
 
