@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of lineitem that a task gets when edges are made; each gives up to two edges.
+TASK_ROWS = 250_000
 
 _FILE = "CASE n_regionkey WHEN 0 THEN 'api' WHEN 1 THEN 'app/services' WHEN 2 THEN 'models' WHEN 3 THEN 'core' ELSE 'misc' END || '/' || replace(n_name, ' ', '_') || '.py'"
 _PART_FILE = "replace(p_brand, '#', '_') || '/' || replace(p_type, ' ', '_') || '.py'"
@@ -63,6 +67,10 @@ SELECT 'route:GET /' || lower(c_mktsegment) || '/' || CAST(c_custkey AS STRING),
 ) e GROUP BY src_id, dst_id, type, line, confidence
 """
 
+#: EDGES without the first two parts of its union, those over lineitem.
+_REST = "SELECT src_id, dst_id, type, line, confidence FROM (" + EDGES.split("UNION ALL", 2)[2].replace("'imports', 1, 1.0 FROM", "'imports' AS type, 1 AS line, 1.0 AS confidence FROM", 1).replace("|| a.n_name,", "|| a.n_name AS src_id,", 1).replace("|| b.n_name,", "|| b.n_name AS dst_id,", 1)
+_REST = _REST.replace("SELECT 'py:' || replace(a.p_brand", "SELECT /*+ MERGE(b) */ 'py:' || replace(a.p_brand", 1)
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "conversations")
 
 
@@ -88,7 +96,28 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark(spark, EDGES, sf_dir)
+    """EDGES; the two large parts of its union are made distinct where the join with parts has dealt them.
+
+    A part's id ends with its key, so equal edges of a part have equal keys, and no two parts of the union have
+    type, line and confidence in common. Ids that are null may be equal for several keys; with one, EDGES runs as it is.
+    """
+    t = tables(spark, sf_dir, "nation", "customer", "supplier", "part", "orders", "lineitem")
+    part = t["part"].select(F.col("p_partkey").alias("key"), F.expr(_PART).alias("part"))
+    if not part.where("key is not null and part is null").isEmpty():
+        return _spark(spark, EDGES, sf_dir)
+    shuffled = lambda df: df.hint("merge")  # noqa: E731  sizes of the larger tables are not known well enough to broadcast
+    nation = t["nation"]
+    customer = t["customer"].join(nation, F.expr("c_nationkey = n_nationkey")).select("c_custkey", F.expr(_CUSTOMER).alias("other"))
+    supplier = t["supplier"].join(nation, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", F.expr(_SUPPLIER).alias("other"))
+    orders = t["orders"].join(shuffled(customer), F.expr("o_custkey = c_custkey")).select("o_orderkey", "other")
+    line = t["lineitem"]
+    into = line.join(shuffled(orders), F.expr("l_orderkey = o_orderkey")).select(F.lit(True).alias("into"), "l_partkey", "other", "l_linenumber")
+    out = line.join(shuffled(supplier), F.expr("l_suppkey = s_suppkey")).select(F.lit(False).alias("into"), "l_partkey", "other", "l_linenumber")
+    n = max(spark.sparkContext.defaultParallelism, -(-line.count() // TASK_ROWS))
+    own = into.unionAll(out).repartition(n, "l_partkey").join(shuffled(part), F.expr("l_partkey = key")).groupBy("l_partkey", "into", "other", "part", "l_linenumber").agg(F.lit(1))
+    ends = [F.when(F.col("into"), a).otherwise(F.col(b)).alias(c) for a, b, c in ((F.col("other"), "part", "src_id"), (F.col("part"), "other", "dst_id"))]
+    own = own.select(*ends, F.lit("calls").alias("type"), F.col("l_linenumber").alias("line"), F.expr("CASE WHEN into THEN 1.0 ELSE 0.9 END").alias("confidence"))
+    return own.unionAll(_spark(spark, _REST, sf_dir))
 
 
 def with_sql(body: str, *extra: str) -> str:
