@@ -68,3 +68,12 @@ def test_layer_of_first_matching_directory(spark):
     df = spark.createDataFrame([("cold/backend/routers/a.py",), ("x/y.py",), ("z.py",), ("Models/b.py",)], "p string")
     got = [(r.l.dir, r.l.layer) for r in df.select(Q.layer_dir(F.col("p")).alias("l")).collect()]
     assert got == [("cold/backend/routers", "presentation"), ("x", "other"), (".", "other"), ("Models", "data")]
+
+
+def test_traversals_store_frontiers_and_not_all_edges(spark, monkeypatch):
+    real, sizes = G.cut, []
+    monkeypatch.setattr(G, "cut", lambda df: (sizes.append(df.count()), real(df))[1])
+    e = edges(spark, ("a", "b"), ("b", "c"), *[(f"x{i}", f"y{i}") for i in range(50)])
+    assert G.shortest_path(e, "a", "c").first().path == ["a", "b", "c"]
+    assert rows(G.callers(e, "c", 3)) == [("b", "a", 2), ("c", "b", 1)]
+    assert max(sizes) == 1
